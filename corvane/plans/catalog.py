@@ -1,0 +1,4 @@
+"""Registered queries of the core operators and their SQL equivalents."""
+
+QUERIES = {}
+ORACLES = {}
