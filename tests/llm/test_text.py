@@ -1,0 +1,176 @@
+"""Chat, personal data, language identification, page text."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from corvane.llm import langid
+from corvane.llm.chat import format_chat, parse_chat
+from corvane.llm.html_extract import DEFAULT, best_run, extract_main_text, learn_weights, main_text
+from corvane.llm.pii import find_pii, sanitise
+from corvane.llm.queries import op6_pii, op7_langid, op9_html
+
+NASTY = ["", None, r"\### Assistant: </turn> ok", "<and><turn:user>\\", "\\l\\b\\g<>", "a\nb", "</turn>" * 3, "\\\\<", "é🙂>"]
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", None, "a>b<\\"]), rng.choice(NASTY), "x") for c in [*range(40), None] for t in range(rng.randint(1, 9))]
+    rows.append((99, None, "assistant", "first", "x"))
+    rows += [(99, 1, "user", "twice", "x")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = {r.conv_id: r for r in parse_chat(format_chat(df)).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted((t is not None, t or 0, r or "", x or "") for k, t, r, x, _ in rows if k == c)
+        assert [(t.role, t.text) for t in out[c].turns] == [(r, x) for _, _, r, x in own]
+        assert out[c].loss_texts == [x for _, _, r, x in own if r == "assistant"]
+        assert sum(m.chars for m in out[c].loss_mask) == len(out[c].formatted)
+        runs = [r for r, _ in itertools.groupby(r for _, _, r, _ in own)]
+        assert out[c].formatted.count("<turn:") == len(runs)
+    assert format_chat(df.limit(0)).count() == 0
+
+
+# ---- personal data
+
+
+def slow_base(text):
+    def card(m):
+        d = re.sub("[^0-9]", "", m)
+        total = sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d)))
+        return 13 <= len(d) <= 19 and total % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", card),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+def test_base_spans(spark):
+    rng = random.Random(7)
+    texts = [None, "", "a.b@c.d_e@f.g@h.i-j.k@l", "x@y x@y.z..w", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.0255", "4111 1111-1111 1111 4111111111111111 41111111111111112345678", "+1 (017) 555-7713)) +12-3 +1((((((2", "\u0001a@b.c\u0002", "🙂a@b.cd🙂+1 234 567 890", "9" * 5000, "a@" * 3000, "1-" * 3000, "+1" * 2000, "a" * 50000 + "@b.c", "b@" + "a." * 8000 + "a"]
+    texts += ["".join(rng.choice("01234567 @.-+()ab_%") for _ in range(rng.randint(1, 120))) for _ in range(1500)]
+    texts += ["".join(rng.choice(["4111111111111111", " ", "-", "4", "1", "+1", "a@b.c", ".", "1.2.3.4", "@", "(", "_"]) for _ in range(rng.randint(1, 15))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    for r in find_pii(df).collect():
+        assert [(s.kind, s.start, s.end) for s in r.base] == slow_base(texts[r.doc_id]), texts[r.doc_id][:200]
+
+
+def test_disclosing_terms(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5)))
+    rows = [(i, " ".join(word() for _ in range(30))) for i in range(300)]
+    rows += [(1000 + i, f"{word()} call Zorblatt the plumber at zb@mail.example, {word()} now") for i in range(5)]
+    rows += [(2000 + i, f"the {word()} call plumber now at") for i in range(100)]
+    rows += [(3000, "nothing of Zorblatt here"), (3001, None), (3002, "4111111111111111"), (3002, "4111111111111111")]
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, spans string, base int")
+    out = {r.doc_id: r for r in find_pii(df).collect()}
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    for i in range(5):
+        t = rows[300 + i][1]
+        assert [t[s.start : s.end] for s in out[1000 + i].spans] == ["zb@mail.example", "Zorblatt"]
+        assert clean[1000 + i] == t.replace("zb@mail.example", "[EMAIL]").replace("Zorblatt", "[TERM]")
+    assert out[3000].spans == [] and clean[3000] == "nothing of Zorblatt here"
+    assert clean[3001] is None and clean[3002] == "[CARD]"
+    assert find_pii(df).count() == len(rows) and sanitise(df.limit(0)).count() == 0 and sanitise(df).columns == df.columns and sanitise(df).count() == len(rows)
+
+
+def test_query_op6(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    hit = 0
+    for r in op6_pii(spark, "/root/testdata/sf0.01").collect():
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in slow_base(docs[r.doc_id]))
+        hit += bool(base)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+    assert hit
+
+
+# ---- language
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    codes, mask, _ = langid._pieces([b"abc", b"zz", b"hello"])
+    table, rec = (rng.normal(0, 0.5, s).astype(np.float64) for s in ((256, 3 * langid.HIDDEN), (langid.HIDDEN, 3 * langid.HIDDEN)))
+    pull = rng.normal(0, 1, (5, 3, langid.HIDDEN))
+    trace = []
+    langid._states(codes, mask, table, rec, trace)
+    d_table, d_rec = langid._grads(codes, mask, rec, trace, pull)
+    loss = lambda: float((langid._states(codes, mask, table, rec) * pull).sum())
+    for arr, grad, at in ((rec, d_rec, (3, 5)), (rec, d_rec, (1, 40)), (table, d_table, (ord("l"), 2)), (table, d_table, (ord("z"), 20))):
+        old, eps = arr[at], 1e-2
+        arr[at] = old + eps
+        up = loss()
+        arr[at] = old - eps
+        down = loss()
+        arr[at] = old
+        assert abs((up - down) / (2 * eps) - grad[at]) < 2e-2 * max(1, abs(grad[at]))
+
+
+def test_query_op7(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op7_langid(spark, sf).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(spark.read.parquet(f"{sf}/documents.parquet").collect()) and 250 < len(held) < 420
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_langid_edges(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog", "en", 1), (2, "der Hund und die Katze", "de", 2), (3, None, "en", 3), (4, "12 !?", "de", 4), (None, "the dog", "en", 5), (6, "x" * 30000, None, 6), (6, "", None, 6)], "doc_id long, text string, lang string, score int")
+    out = {r.doc_id: r for r in langid.identify(df, langid.fit(df)).collect()}
+    assert out[3].lang_pred == out[4].lang_pred == "und" and out[4].score == 0
+    assert langid.identify(df, None).select("lang_pred").distinct().count() == 1
+    assert langid.fit(df.limit(0)) is None and langid.identify(df.limit(0), None).count() == 0
+    assert langid.train([("", "en")]) is None
+
+
+# ---- pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body>
+<header><h2>Site</h2></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies here.</div><!-- ad <p>no</p> -->
+<div id="wrap">%s</div><aside>Side words</aside><section class="comments"><p>Reader says a lot of words here indeed.</p></section>
+<form><label>Search</label></form><div class='ad'>Buy now</div><footer>&copy; us</footer></body></html>"""
+BODY = "<h1>A  title&amp;more</h1><p>First <b>bo</b>ld<br>line &lt;x&gt;\n of text.</p><div class='share'>Share this</div><p>A.</p><p>Last one with a <a href='/x'>link</a> in it.</p>"
+WANT = "A title&more\nFirst bold line <x> of text.\nA.\nLast one with a link in it."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "%s"])
+def test_main_text(wrap):
+    assert main_text(PAGE % (wrap % BODY), DEFAULT) == WANT
+
+
+def test_best_run():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.randint(-5, 5) for _ in range(rng.randint(0, 12))]
+        best = max([0, *(sum(s[i : j + 1]) for i in range(len(s)) for j in range(i, len(s)))])
+        found = best_run(s)
+        assert (sum(s[found[0] : found[1] + 1]) if found else 0) == best
+
+
+def test_pages_frame(spark):
+    hostile = ["<" * 20000, "<a href='" * 5000, "<!--" * 3000, "<div class=ad>" * 3000 + "x", "<p>" * 50000 + "word", "&amp" * 1000, "<script>" * 100]
+    rows = [(1, PAGE % ("<article>" + BODY + "</article>")), (2, None), (3, ""), (4, "plain words only"), (4, "plain words only"), (5, "<nav>menu</nav>"), (6, "<p>" + "w " * 200000)] + [(10 + i, h) for i, h in enumerate(hostile)]
+    df = spark.createDataFrame([(i, h, "u", 1) for i, h in rows], "page_id long, html string, url string, text int")
+    out = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert out[1] == WANT and out[2] == out[3] == out[5] == "" and out[4] == "plain words only" and len(out[6]) == 399999
+    assert extract_main_text(df.limit(0)).count() == 0 and learn_weights(df.limit(0)) == DEFAULT
+
+
+def test_query_op9(spark, sf_dir):
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in op9_html(spark, sf_dir).collect():
+        inner = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        blocks = re.split("</?(?:p|h1)>", re.sub("<br>", " ", inner))
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b))).strip() for b in blocks]
+        assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
