@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if its counted rows are at most this many narrow rows.
 BROADCAST_ROWS = 200_000
+#: The same for a set of single longs (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Python kernels work on slices of an Arrow batch holding about this many bytes of text.
 SLICE_BYTES = 4_000_000
 
@@ -41,9 +43,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
+def bounded(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """Mark a narrow table for broadcast when its counted ``rows`` are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
