@@ -51,11 +51,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = [F.conv(F.hex(F.substring("_h", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"_w{i}") for i in range(4)]
     key = [f"_w{i}" for i in range(4)]
     dup = rows.where("_h is not null").select("*", *words)
-    groups = dup.groupBy(*key).agg(F.count("*").alias("_g"), F.min("_id").alias("_keep"))
-    # The kept row: among those with the least id (all have it only if ids repeat) the first stored one.
-    found = dup.join(groups, key).withColumn("_first", F.col("_id").eqNullSafe(F.col("_keep")))
-    winner = found.where("_first").groupBy(*key).agg(F.min("_r").alias("_win"))
-    found = found.join(winner, key, "left")
+    # The row that stays has the least id (null last); of rows that repeat it, the first stored one.
+    groups = dup.groupBy(*key).agg(F.count("*").alias("_g"), F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_r")).alias("_win"))
+    found = dup.join(groups.select(*key, "_g", F.col("_win._id").alias("_keep"), F.col("_win._r").alias("_win")), key)
     more = ["text_sha256"] if digest else []
     one = rows.where("_h is null").select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
     many = found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_g").alias("group_size"), (F.col("_r") == F.col("_win")).alias("kept"), *more)
