@@ -16,6 +16,8 @@ from corvane.llm.common import map_text
 
 #: Bound of the training sample: so many documents of a language, so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 300
+#: Languages learnt at most: the most frequent ones.
+LANGS = 1000
 HIDDEN, STEPS = 16, 24
 #: Words whose result a task keeps; the table starts anew when it is full.
 CACHE_WORDS = 300_000
@@ -193,10 +195,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     without id, text or language are not learnt from. No such rows: None.
     """
     h = F.xxhash64(F.col(id_col), F.lit("sample"))
+    open_rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
+    # Counts of the languages tell which hashes can be among the least: only about twice the
+    # sample is sorted, however large the table is.
+    counts = open_rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    if not counts:
+        return None
+    share = {r.lang: min(1.0, 2 * sample_docs / r["count"]) for r in counts}
+    bound = docs.sparkSession.createDataFrame([(k, int(v * 2**20)) for k, v in share.items()], "lang string, most long")
     place = F.pmod(h, F.greatest(F.length(text_col) - sample_chars, F.lit(1)).cast("long")).cast("int") + 1
-    rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), place, F.lit(sample_chars)).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = open_rows.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    rows = rows.join(F.broadcast(bound), "lang").where(F.pmod(F.col("h"), F.lit(2**20)) < F.col("most"))
+    rows = rows.select("h", "lang", F.substring(F.col("text"), F.col("place"), F.lit(sample_chars)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(2**20)), "h", "text"))
     got = rows.withColumn("k", rank).where(F.col("k") <= sample_docs).select("text", "lang").collect()
     return train(sorted((r.text, r.lang) for r in got))
 
