@@ -36,9 +36,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of near copies; of rows that repeat it, one."""
-    groups = simhash.simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    told = common.materialize(simhash.simhash_dedup(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
+    gone = told.where("NOT stays").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(common.bounded(gone, gone.count(), common.BROADCAST_IDS), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
+    twice = common.materialize(told.where("stays").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
+    if not (n := twice.count()):
+        return kept
+    # Only rows whose id repeats meet; no other text is shuffled.
+    same = lambda: kept["doc_id"].eqNullSafe(few["_twice"])
+    few = common.bounded(twice, n, common.BROADCAST_IDS)
+    return kept.join(few, same(), "left_anti").unionByName(kept.join(few, same(), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import map_text
+from corvane.llm.common import map_text, small_batches
 
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE.
 WORD = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a task keeps; the table starts anew when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Longer words are encoded each time they occur.
 CACHE_CHARS = 64
 _NONE = np.iinfo(np.int32).max
@@ -192,6 +192,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: s
 def bpe_decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of each id array. Null gives an empty text; bytes that
     are no UTF-8 become U+FFFD; an id outside the vocabulary raises an error."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col]
     sent = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*sent.schema.fields, T.StructField(text_col, T.StringType())])

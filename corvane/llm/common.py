@@ -16,8 +16,18 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: The same for a set of single longs (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = "6m"
 #: Python kernels work on slices of an Arrow batch holding about this many bytes of text.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``, so that long texts don't add up in the JVM and in the
+    Python worker. A limit that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -78,6 +88,7 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Call
     null) to one Arrow array per field. Columns of ``keep`` (default: all) pass through;
     those whose names clash with ``fields`` are replaced.
     """
+    small_batches(df.sparkSession)
     names = {f.name for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     source = "_corvane_text"
