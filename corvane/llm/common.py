@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +19,9 @@ BROADCAST_ROWS = 200_000
 #: The same for a set of single longs (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = "6m"
+BATCH_BYTES = "4m"
 #: Python kernels work on slices of an Arrow batch holding about this many bytes of text.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -30,6 +32,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def release() -> None:
+    """Give a Python worker's free memory back at the end of a task: workers are used again, and
+    what one operator has left would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one named by ``spark.checkpoint.dir``.
 
@@ -101,5 +113,8 @@ def map_text(df: DataFrame, text_col: str, fields: list[T.StructField], fn: Call
             for b in slices(whole, source):
                 out = kernel(b.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], names=[*keep, *(f.name for f in fields)])
+        del kernel
+        gc.collect()
+        release()
 
     return sent.mapInArrow(run, schema)

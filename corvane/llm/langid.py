@@ -20,7 +20,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1500, 300
 LANGS = 1000
 HIDDEN, STEPS = 16, 24
 #: Words whose result a task keeps; the table starts anew when it is full.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
