@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: The same for a set of single longs (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: A key is hot if it holds over one in this many of the rows, so fewer keys than this are hot.
+HOT_SHARES = 10_000
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = "4m"
 #: Python kernels work on slices of an Arrow batch holding about this many bytes of text.
@@ -70,6 +72,18 @@ def bounded(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def join_hot(rows: DataFrame, labels: DataFrame, keys: list[str], count: str, total: int, shares: int = HOT_SHARES) -> DataFrame:
+    """Inner join on ``keys`` that sends no hot key's rows to one task. ``labels`` (stored, as it
+    is read twice) has one row per key; ``count`` says how many of the ``total`` rows have it.
+
+    Fewer than ``shares`` keys can hold over ``total / shares`` rows: they are broadcast, and
+    their rows stay where they are. All others are shuffled.
+    """
+    hot, cold = (labels.where(c) for c in (F.col(count) > total // shares, F.col(count) <= total // shares))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two 64-bit hashes of (id, text): a join key that holds for null and repeated ids."""
     return [F.xxhash64(F.lit(1), df[id_col], df[text_col]).alias("_k1"), F.xxhash64(F.lit(2), df[text_col], df[id_col]).alias("_k2")]

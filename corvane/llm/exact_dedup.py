@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded, materialize
+from corvane.llm.common import bounded, join_hot, materialize
 
 #: ASCII white space runs that compare equal to one space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -24,7 +24,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before the shuffle; lengths that occur once are dropped, then prefixes that occur once.
     Only rows of the pairs left are hashed in full, in a second scan: no text is shuffled,
     and the pairs are broadcast only when counted to be few. If they are many, each row is
-    hashed in full, with the same result. ``digest`` asks for the hash of every row.
+    hashed in full, with the same result. Rows of a text with very many copies are not shuffled. ``digest`` asks for the hash of every row.
 
     Null text counts as empty; all empty texts form one group. Of rows that repeat both id
     and text exactly one is kept. An empty table gives an empty table; other columns are
@@ -53,7 +53,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dup = rows.where("_h is not null").select("*", *words)
     # The row that stays has the least id (null last); of rows that repeat it, the first stored one.
     groups = dup.groupBy(*key).agg(F.count("*").alias("_g"), F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_r")).alias("_win"))
-    found = dup.join(groups.select(*key, "_g", F.col("_win._id").alias("_keep"), F.col("_win._r").alias("_win")), key)
+    groups = materialize(groups.select(*key, "_g", F.col("_win._id").alias("_keep"), F.col("_win._r").alias("_win")))
+    found = join_hot(dup, groups, key, "_g", groups.agg(F.sum("_g")).first()[0] or 0)
     more = ["text_sha256"] if digest else []
     one = rows.where("_h is null").select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *more)
     many = found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_g").alias("group_size"), (F.col("_r") == F.col("_win")).alias("kept"), *more)

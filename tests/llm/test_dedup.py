@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from corvane.llm import simhash
+from corvane.llm.common import join_hot
 from corvane.llm.components import components
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.line_dedup import Shape, line_dedup
@@ -49,6 +50,16 @@ def test_exact(spark, monkeypatch, bound):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_join_hot(spark):
+    rows = [(k, i) for k, n in enumerate([60, 30, 5, 4, 1]) for i in range(n)]
+    df = spark.createDataFrame([*rows, (9, 0)], "k long, i long")
+    labels = spark.createDataFrame([(k, n, f"l{k}") for k, n in enumerate([60, 30, 5, 4, 1])], "k long, n long, l string")
+    want = sorted((k, i, f"l{k}") for k, i in rows)
+    for shares in (1, 4, 20, 1000):
+        assert sorted(map(tuple, join_hot(df, labels, ["k"], "n", 100, shares).select("k", "i", "l").collect())) == want
+    assert join_hot(df.limit(0), labels.limit(0), ["k"], "n", 0).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (150, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(1, 300)]
