@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import bounded, map_text, materialize
+from corvane.llm.common import bounded, join_hot, map_text, materialize
 from corvane.llm.components import components
 
 BITS = 64
@@ -229,9 +229,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = materialize(fingerprints(own, "_text", words, seed, keep=["_id"]))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("_id").alias("_least")))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
+    size = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
     roots = components(hamming_links(nodes.select("fp"), radius))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = materialize(named.groupBy("root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_m")))
+    label = materialize(join_hot(named, least, ["root"], "_m", size["nodes"]).select("fp", "component_id", "_n"))
+    return join_hot(rows, label, ["fp"], "_n", size["rows"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
