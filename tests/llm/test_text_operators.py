@@ -81,6 +81,11 @@ def test_disclosing_terms(spark):
     assert find_pii(df).count() == len(rows) and sanitise(df.limit(0)).count() == 0 and sanitise(df).columns == df.columns and sanitise(df).count() == len(rows)
 
 
+def test_sanitise_keeps_control_characters(spark):
+    df = spark.createDataFrame([(1, "\x01a\x02 mail x@y.org \x01"), (2, "\x01\x02")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in sanitise(df).collect()} == {1: "\x01a\x02 mail [EMAIL] \x01", 2: "\x01\x02"}
+
+
 def test_query_op6(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     hit = 0
