@@ -8,12 +8,13 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corvane.llm import simhash
 from corvane.llm.common import join_hot
 from corvane.llm.components import components
 from corvane.llm.exact_dedup import exact_dedup
-from corvane.llm.line_dedup import Shape, line_dedup
+from corvane.llm.line_dedup import Shape, _alike, line_dedup
 from corvane.llm.queries import op10_simhash
 from corvane.llm.simhash import fingerprint, hamming_links, plan, simhash_dedup
 
@@ -181,3 +182,12 @@ def test_lines_crowded_bucket(spark):
     got = line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shape=Shape()).collect()
     empty = {r.doc_id for r in got if r.text == ""}
     assert empty <= set(range(300, 360)) and len(empty) >= 57
+
+
+def test_alike_counts_ties(spark):
+    """Sets of exactly the least similarity are alike, whatever their sizes."""
+    shapes = [(n, m, k) for n in range(1, 25) for m in range(1, 25) for k in range(min(n, m) + 1)]
+    rows = [(i, list(range(n)), list(range(n - k, n - k + m)), k * 5 >= 4 * (n + m - k)) for i, (n, m, k) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, want boolean")
+    assert df.where("want").count() > 50
+    assert df.where(_alike(F.col("a"), F.col("b"), 0.8) != F.col("want")).count() == 0
