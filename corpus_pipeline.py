@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines. A document that had text and has lost all of it goes."""
-    kept = line_dedup.line_dedup(docs).where((F.col("lines_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    kept = line_dedup.line_dedup(docs, shape=line_dedup.Shape(every=True)).where((F.col("lines_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return _as_documents(kept)
 
 

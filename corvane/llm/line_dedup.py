@@ -13,11 +13,13 @@ from corvane.llm.components import components
 
 @dataclass(frozen=True)
 class Shape:
-    """``chars``: characters of a shingle; ``bands`` of ``rows`` minima each; ``jaccard``: least
+    """``chars``: characters of a shingle; ``every``: shingles start at every character, else where
+    words start and at every character of longer words; ``bands`` of ``rows`` minima each; ``jaccard``: least
     similarity of shingle sets; ``least``: lines with fewer characters are left alone;
     ``refine``: rounds; in each, buckets with a line unlike the centre are cut finer."""
 
     chars: int = 12
+    every: bool = False
     bands: int = 4
     rows: int = 2
     jaccard: float = 0.8
@@ -33,16 +35,48 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFra
 
 
 def shingles(line: Column, chars: int) -> Column:
-    """The runs of up to ``chars`` characters that start where a word starts, and at every
-    character from U+0E00 on, where scripts without spaces lie. The match looks ahead for the
-    shingle and consumes the rest of the word, so that each character is passed once."""
-    return F.regexp_extract_all(line, F.lit(rf"(?=([^\x00-\x20].{{0,{chars - 1}}}))(?:[!-\x{{0DFF}}]++|.)"), 1)
+    """The runs of up to ``chars`` characters that start where a word starts, at every character of
+    a word of which more than ``chars`` are left, and at every character from U+0E00 on, where
+    scripts without spaces lie. The match looks ahead for the shingle and consumes one character
+    of a longer word, else the rest of the word, so that every character is in a shingle."""
+    return F.regexp_extract_all(line, F.lit(rf"(?=([^\x00-\x20].{{0,{chars - 1}}}))(?:[!-\x{{0DFF}}](?=[!-\x{{0DFF}}]{{{chars}}})|[!-\x{{0DFF}}]++|.)"), 1)
+
+
+def _wide(line: Column) -> Column:
+    """The line with four bytes a character, so that a shingle is cut out without a scan."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(line: Column, chars: int) -> Column:
+    """The places of all whole shingles; of a line shorter than one, the first."""
+    return F.sequence(F.lit(0), F.greatest(F.length(line) - chars, F.lit(0)))
+
+
+def _cut(wide: Column, start: Column, chars: int) -> Column:
+    return F.substring(wide, start * 4 + 1, F.lit(4 * chars))
+
+
+def _rows(lines: DataFrame, shape: Shape) -> DataFrame:
+    """(_c, i, h): the hash of each line's i-th shingle."""
+    line = F.col("_line")
+    if shape.every:
+        at = lines.select("_c", _wide(line).alias("w"), F.posexplode(_starts(line, shape.chars)).alias("i", "at"))
+        return at.select("_c", "i", F.xxhash64(_cut(F.col("w"), F.col("at"), shape.chars)).alias("h"))
+    return lines.select("_c", F.posexplode(shingles(line, shape.chars)).alias("i", "s")).select("_c", "i", F.xxhash64("s").alias("h"))
+
+
+def _sets(lines: DataFrame, shape: Shape) -> DataFrame:
+    """(_c, s): the set of hashes of each line's shingles."""
+    if shape.every:
+        wide = lines.select("_c", _wide(F.col("_line")).alias("w"), _starts(F.col("_line"), shape.chars).alias("at"))
+        return wide.select("_c", F.array_distinct(F.transform("at", lambda i: F.xxhash64(_cut(F.col("w"), i, shape.chars)))).alias("s"))
+    return lines.select("_c", F.array_distinct(F.transform(shingles(F.col("_line"), shape.chars), lambda s: F.xxhash64(s))).alias("s"))
 
 
 def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
     """(_c, n, m0, m1, ...) per distinct line, n: how often it stands. The minima are taken by the
     hash aggregate, combined before the shuffle, and the same aggregate makes the lines distinct."""
-    rows = lines.select("_c", F.posexplode(shingles(F.col("_line"), shape.chars)).alias("i", "s")).select("_c", "i", F.xxhash64("s").alias("h"))
+    rows = _rows(lines, shape)
     m = shape.bands * shape.rows
     rows = rows.select("_c", "i", *[F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(-(-m // 2))])
     # One hash serves two minima, with its lower and its upper half.
@@ -90,7 +124,7 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
             wanted = materialize(ends.unionByName(sig.where("n > 1").select("_c")).distinct())
             stored = materialize(lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c", "left_semi"))
             found = stored.join(bounded(ends, ends.count(), BROADCAST_IDS), "_c", "left_semi").select("_c", "_line").dropDuplicates(["_c"])
-            sets = materialize(found.select("_c", F.array_distinct(F.transform(shingles(F.col("_line"), shape.chars), lambda s: F.xxhash64(s))).alias("s")))
+            sets = materialize(_sets(found, shape))
         a, b = sets.select(F.col("_c").alias("u"), F.col("s").alias("a")), sets.select(F.col("_c").alias("v"), F.col("s").alias("b"))
         good = materialize(pairs.join(a, "u").join(b, "v").where(_alike(F.col("a"), F.col("b"), shape.jaccard)).select("u", "v"))
         done = good if done is None else done.unionByName(good)

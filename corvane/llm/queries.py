@@ -13,7 +13,7 @@ from corvane.llm.chat import format_chat, parse_chat
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.html_extract import extract_main_text
 from corvane.llm.langid import fit, held_out, identify
-from corvane.llm.line_dedup import line_dedup
+from corvane.llm.line_dedup import Shape, line_dedup
 from corvane.llm.packing import pack_documents
 from corvane.llm.pii import KINDS, find_pii
 from corvane.llm.simhash import simhash_dedup
@@ -78,7 +78,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), shape=Shape(every=True))
     return kept.select("doc_id", "lines_total", "lines_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -191,3 +191,38 @@ def test_alike_counts_ties(spark):
     df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, want boolean")
     assert df.where("want").count() > 50
     assert df.where(_alike(F.col("a"), F.col("b"), 0.8) != F.col("want")).count() == 0
+
+
+def all_shingles(line, k=12):
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def deduped(docs, alike):
+    """Texts after brute force over all pairs of lines of 32 characters or more."""
+    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 32}
+    root, first = closure(set(places.values()), alike(sorted(set(places.values())))), {}
+    for p in sorted(places):
+        first.setdefault(root[places[p]], p)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in places or first[root[places[d, i]]] == (d, i)) for d, t in docs}
+
+
+def alike_pairs(lines):
+    sets = [all_shingles(x) for x in lines]
+    return [(a, b) for (a, s), (b, t) in itertools.combinations(zip(lines, sets), 2) if len(s & t) >= 0.8 * len(s | t)]
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_lines_of_one_long_word(spark, every):
+    """Long words are compared whole, wherever they differ and in all scripts."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefghij/._-é你"), n))
+    rows = ["https://example.com/articles/2024/01/first-story.html", "https://example.com/contact/imprint/and/other/page", "import org.apache.commons.lang3.StringUtils;", "import org.apache.commons.io.file.PathUtils;"]
+    for _ in range(40):
+        x = "https://example.com/" + word(int(rng.integers(60, 400)))
+        rows += [x, x + "tail", "http://" + x[8:], x[:20] + word(len(x) - 20)]
+    docs = list(enumerate(rows))
+    want = deduped(docs, alike_pairs)
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shape=Shape(every=every)).collect()}
+    assert all(got[i] for i in range(4)) and sum(not t for t in want.values()) >= 60
+    assert all(got[d] for d, t in want.items() if t)  # nothing extra is dropped
+    assert sum(got[d] == t for d, t in want.items()) >= 0.97 * len(docs)
