@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_IDS, bounded, materialize, row_key
+from corvane.llm.common import BROADCAST_IDS, bounded, join_hot, materialize, row_key
 from corvane.llm.components import components
 
 
@@ -15,8 +15,7 @@ from corvane.llm.components import components
 class Shape:
     """``chars``: characters of a shingle; ``every``: shingles start at every character, else where
     words start and at every character of longer words; ``bands`` of ``rows`` minima each; ``jaccard``: least
-    similarity of shingle sets; ``least``: lines with fewer characters are left alone;
-    ``refine``: rounds; in each, buckets with a line unlike the centre are cut finer."""
+    similarity of shingle sets; ``least``: lines with fewer characters are left alone."""
 
     chars: int = 12
     every: bool = False
@@ -24,7 +23,6 @@ class Shape:
     rows: int = 2
     jaccard: float = 0.8
     least: int = 32
-    refine: int = 3
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
@@ -91,51 +89,75 @@ def _alike(a: Column, b: Column, jaccard: float) -> Column:
     return near & (F.size(F.array_intersect(a, b)) >= F.lit(jaccard / (1 + jaccard)) * (F.size(a) + F.size(b)) - 1e-9)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (u, v) whose sets are alike."""
+    a, b = sets.select(F.col("_c").alias("u"), F.col("s").alias("a")), sets.select(F.col("_c").alias("v"), F.col("s").alias("b"))
+    return pairs.join(a, "u").join(b, "v").where(_alike(F.col("a"), F.col("b"), shape.jaccard)).select("u", "v")
+
+
+def exact_links(sets: DataFrame, good: DataFrame, shape: Shape) -> DataFrame:
+    """All links (u, v) among ``sets`` between lines that ``good`` has not yet put in one component.
+
+    With shingles in one order, rarest first, two sets of similarity j share one of the first
+    ``n - ceil(j * n) + 1`` of each, so only lines with a common rare shingle are compared and no
+    pair is lost, however many lines share a frequent passage.
+    """
+    roots = components(good).select(F.col("node").alias("_c"), "root")
+    own = sets.join(roots, "_c", "left").select("_c", F.coalesce("root", "_c").alias("r"), F.size("s").alias("n"), "s")
+    items = materialize(own.select("_c", "r", "n", F.explode("s").alias("h")))
+    shared = materialize(items.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
+    # A line's shingles that no other has come first in the order and meet nobody.
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(shape.jaccard) - 1e-9) + 1
+    mine = join_hot(items, shared, ["h"], "f", items.count()).groupBy("_c", "r", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x"))
+    room = (most - (F.col("n") - F.size("x"))).cast("int")
+    first = mine.where(room > 0).select("_c", "r", "n", F.size("x").alias("m"), F.posexplode(F.slice("x", F.lit(1), room)).alias("i", "x"))
+    first = first.select("_c", "r", "n", (F.col("m") - F.col("i")).alias("m"), "x.h")
+    first = materialize(first)
+    apart = first.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("h")
+    first = materialize(first.join(apart, "h", "left_semi"))
+    p, q = (first.select("h", *[F.col(c).alias(c + side) for c in ("_c", "r", "n", "m")]) for side in "pq")
+    # From the first common shingle on, both have enough left to be alike.
+    like = F.least("mp", "mq") >= F.lit(shape.jaccard / (1 + shape.jaccard)) * (F.col("np") + F.col("nq")) - 1e-9
+    pairs = p.join(q, "h").where((F.col("_cp") < F.col("_cq")) & (F.col("rp") != F.col("rq")) & like).select(F.col("_cp").alias("u"), F.col("_cq").alias("v")).distinct()
+    return materialize(_verified(pairs, sets, shape))
+
+
 def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
     """Verified links (u, v) between hashes of distinct lines, from their stored signatures, and
     the stored lines that stand more than once or may have a link.
 
-    Lines of a bucket are compared with one centre, by exact Jaccard of their shingle sets.
-    The lines of a bucket in which one fails meet again under keys with one more minimum and
-    another centre, so a bucket never makes pairs of all its members.
+    Lines of a bucket are compared with one centre, by exact Jaccard of their shingle sets. All
+    lines of buckets in which one fails are then linked exactly by ``exact_links``, so every pair
+    that shares a bucket and is alike ends in one component.
     """
-    r, m = shape.rows, shape.bands * shape.rows
+    r = shape.rows
 
     def named(hash_: Column, band: Column) -> Column:
         return hash_.bitwiseAND(-16).bitwiseOR(band)  # the band is the key's last four bits
 
     keys = [named(F.xxhash64(F.lit(b), *[F.col(f"m{b * r + i}") for i in range(r)]), F.lit(b).cast("long")) for b in range(shape.bands)]
     rows = sig.select(F.col("_c").alias("c"), F.explode(F.array(*keys)).alias("key"))
-    band = F.col("key").bitwiseAND(15)
-    done = sets = None
-    for k in range(shape.refine):
-        # Another order of the hashes per band and round: the buckets of one family get different centres.
-        mask = F.xxhash64(band, F.lit(k))
-        order = F.col("c").bitwiseXOR(mask)
-        full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
-        full = materialize(full.select("key", "n", F.col("low").bitwiseXOR(mask).alias("v"), F.col("high").bitwiseXOR(mask).alias("w")))
-        # A bucket of two is its own pair; only members of larger ones are looked up.
-        large = full.where("n > 2").select("key", "v")
-        met = materialize(rows.join(bounded(large, large.count(), BROADCAST_IDS // 2), "key").select("c", "v", "key"))
-        pairs = met.where("c <> v").select(F.col("c").alias("u"), "v").unionByName(full.where("n = 2").select(F.col("w").alias("u"), "v")).distinct()
-        if sets is None:  # of all lines that share a bucket; later rounds meet some of them again
-            ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_c")).groupBy("_c").agg(F.lit(1).alias("one")).select("_c"))
-            # Lines that stand often or share a bucket are stored once, for this and for the caller.
-            wanted = materialize(ends.unionByName(sig.where("n > 1").select("_c")).distinct())
-            stored = materialize(lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c", "left_semi"))
-            found = stored.join(bounded(ends, ends.count(), BROADCAST_IDS), "_c", "left_semi").select("_c", "_line").dropDuplicates(["_c"])
-            sets = materialize(_sets(found, shape))
-        a, b = sets.select(F.col("_c").alias("u"), F.col("s").alias("a")), sets.select(F.col("_c").alias("v"), F.col("s").alias("b"))
-        good = materialize(pairs.join(a, "u").join(b, "v").where(_alike(F.col("a"), F.col("b"), shape.jaccard)).select("u", "v"))
-        done = good if done is None else done.unionByName(good)
-        # All of a large bucket in which a line failed meet again, in smaller buckets.
-        failed = met.where("c <> v").join(good.withColumnRenamed("u", "c"), ["c", "v"], "left_anti").select("key").distinct()
-        again = materialize(met.select("c", "key").join(failed, "key", "left_semi"))
-        if again.isEmpty():
-            break
-        pick = F.element_at(F.array(*[F.col(f"m{i}") for i in range(m)]), F.pmod(band * r + r + k, F.lit(m)).cast("int") + 1)
-        rows = again.join(sig.withColumnRenamed("_c", "c"), "c").select("c", named(F.xxhash64("key", pick), band).alias("key"))
-    return done.distinct(), stored
+    # Another order of the hashes per band: the buckets of one family get different centres.
+    mask = F.xxhash64(F.col("key").bitwiseAND(15), F.lit(0))
+    order = F.col("c").bitwiseXOR(mask)
+    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
+    full = materialize(full.select("key", "n", F.col("low").bitwiseXOR(mask).alias("v"), F.col("high").bitwiseXOR(mask).alias("w")))
+    # A bucket of two is its own pair; only members of larger ones are looked up.
+    large = full.where("n > 2").select("key", "v")
+    met = materialize(rows.join(bounded(large, large.count(), BROADCAST_IDS // 2), "key").select("c", "v", "key"))
+    pairs = met.where("c <> v").select(F.col("c").alias("u"), "v").unionByName(full.where("n = 2").select(F.col("w").alias("u"), "v")).distinct()
+    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_c")).groupBy("_c").agg(F.lit(1).alias("one")).select("_c"))
+    # Lines that stand often or share a bucket are stored once, for this and for the caller.
+    wanted = materialize(ends.unionByName(sig.where("n > 1").select("_c")).distinct())
+    stored = materialize(lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c", "left_semi"))
+    found = stored.join(bounded(ends, ends.count(), BROADCAST_IDS), "_c", "left_semi").select("_c", "_line").dropDuplicates(["_c"])
+    sets = materialize(_sets(found, shape))
+    good = materialize(_verified(pairs, sets, shape))
+    failed = met.where("c <> v").join(good.withColumnRenamed("u", "c"), ["c", "v"], "left_anti").select("key").distinct()
+    left = materialize(met.join(failed, "key", "left_semi").select(F.col("c").alias("_c")).distinct())
+    if not (n := left.count()):
+        return good, stored
+    return good.unionByName(exact_links(sets.join(bounded(left, n, BROADCAST_IDS), "_c", "left_semi"), good, shape)), stored
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:

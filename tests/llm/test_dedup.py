@@ -226,3 +226,16 @@ def test_lines_of_one_long_word(spark, every):
     assert all(got[i] for i in range(4)) and sum(not t for t in want.values()) >= 60
     assert all(got[d] for d, t in want.items() if t)  # nothing extra is dropped
     assert sum(got[d] == t for d, t in want.items()) >= 0.97 * len(docs)
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_lines_crowd_of_thousands(spark, every):
+    """Edited pairs among thousands of lines with one template are found as brute force finds them."""
+    rng = np.random.default_rng(12)
+    template = " ".join(f"common{i}" for i in range(33))
+    line = lambda: template + " " + " ".join(f"w{x}" for x in rng.integers(10**5, 10**6, 6))
+    rows = [line() for _ in range(4000)]
+    edited = [r[: r.rindex(" w")] + f" edited{i}" for i, r in enumerate(rows[:600])]
+    got = line_dedup(spark.createDataFrame(list(enumerate(rows + edited)), "doc_id long, text string"), shape=Shape(every=every)).collect()
+    empty = {r.doc_id for r in got if not r.text}
+    assert empty <= set(range(4000, 4600)) and len(empty) >= 594  # of the banding, 0.99
