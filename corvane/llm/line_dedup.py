@@ -40,41 +40,20 @@ def shingles(line: Column, chars: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?=([^\x00-\x20].{{0,{chars - 1}}}))(?:[!-\x{{0DFF}}](?=[!-\x{{0DFF}}]{{{chars}}})|[!-\x{{0DFF}}]++|.)"), 1)
 
 
-def _wide(line: Column) -> Column:
-    """The line with four bytes a character, so that a shingle is cut out without a scan."""
-    return F.encode(line, "UTF-32")
-
-
-def _starts(line: Column, chars: int) -> Column:
-    """The places of all whole shingles; of a line shorter than one, the first."""
-    return F.sequence(F.lit(0), F.greatest(F.length(line) - chars, F.lit(0)))
-
-
-def _cut(wide: Column, start: Column, chars: int) -> Column:
-    return F.substring(wide, start * 4 + 1, F.lit(4 * chars))
-
-
-def _rows(lines: DataFrame, shape: Shape) -> DataFrame:
-    """(_c, i, h): the hash of each line's i-th shingle."""
-    line = F.col("_line")
-    if shape.every:
-        at = lines.select("_c", _wide(line).alias("w"), F.posexplode(_starts(line, shape.chars)).alias("i", "at"))
-        return at.select("_c", "i", F.xxhash64(_cut(F.col("w"), F.col("at"), shape.chars)).alias("h"))
-    return lines.select("_c", F.posexplode(shingles(line, shape.chars)).alias("i", "s")).select("_c", "i", F.xxhash64("s").alias("h"))
-
-
-def _sets(lines: DataFrame, shape: Shape) -> DataFrame:
-    """(_c, s): the set of hashes of each line's shingles."""
-    if shape.every:
-        wide = lines.select("_c", _wide(F.col("_line")).alias("w"), _starts(F.col("_line"), shape.chars).alias("at"))
-        return wide.select("_c", F.array_distinct(F.transform("at", lambda i: F.xxhash64(_cut(F.col("w"), i, shape.chars)))).alias("s"))
-    return lines.select("_c", F.array_distinct(F.transform(shingles(F.col("_line"), shape.chars), lambda s: F.xxhash64(s))).alias("s"))
+def _hashes(line: Column, shape: Shape) -> Column:
+    """The hashes of a line's shingles. Every character's are cut from a form with four bytes a
+    character, without a scan; it is bound in a lambda, as else it is made anew for each shingle."""
+    if not shape.every:
+        return F.transform(shingles(line, shape.chars), lambda s: F.xxhash64(s))
+    at = F.sequence(F.lit(0), F.greatest(F.length(line) - shape.chars, F.lit(0)))
+    cut = lambda w: F.transform(at, lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * shape.chars))))
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), cut), 1)
 
 
 def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
     """(_c, n, m0, m1, ...) per distinct line, n: how often it stands. The minima are taken by the
     hash aggregate, combined before the shuffle, and the same aggregate makes the lines distinct."""
-    rows = _rows(lines, shape)
+    rows = lines.select("_c", F.posexplode(_hashes(F.col("_line"), shape)).alias("i", "h"))
     m = shape.bands * shape.rows
     rows = rows.select("_c", "i", *[F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(-(-m // 2))])
     # One hash serves two minima, with its lower and its upper half.
@@ -151,7 +130,7 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
     wanted = materialize(ends.unionByName(sig.where("n > 1").select("_c")).distinct())
     stored = materialize(lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c", "left_semi"))
     found = stored.join(bounded(ends, ends.count(), BROADCAST_IDS), "_c", "left_semi").select("_c", "_line").dropDuplicates(["_c"])
-    sets = materialize(_sets(found, shape))
+    sets = materialize(found.select("_c", F.array_distinct(_hashes(F.col("_line"), shape)).alias("s")))
     good = materialize(_verified(pairs, sets, shape))
     failed = met.where("c <> v").join(good.withColumnRenamed("u", "c"), ["c", "v"], "left_anti").select("key").distinct()
     left = materialize(met.join(failed, "key", "left_semi").select(F.col("c").alias("_c")).distinct())
