@@ -16,8 +16,9 @@ from corvane.llm.common import bounded, materialize
 
 #: Vectors of one bucket that meet in one task; fuller buckets are cut, and so are their queries.
 BLOCK = 20_000
-#: Above so many distinct vectors a bucket is named by two axes.
-TWO_AXES = 1_000_000
+#: Above so many distinct vectors a bucket is named by two axes: never by default, as equal
+#: recall takes the same share of the buckets, and so many more rows a query.
+TWO_AXES = float("inf")
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4
     rot = Rotations(first.d, tables, 2 if n > TWO_AXES else 1)
     buckets = (2 * rot.width) ** rot.axes
     base, schema = classes.select("c", "low", "vec"), "bucket long, c long, low long, vec array<double>"
-    probes = min(buckets, probes * (1 if rot.axes == 1 else 8)) if n > 2000 else buckets
+    probes = min(buckets, probes * (2 * rot.width) ** (rot.axes - 1)) if n > 2000 else buckets
     use = list(range(tables)) if probes < buckets else [0]
     index = base.mapInArrow(_hash(rot, 1, use), schema)
     found = materialize(_best(_meet(asked.mapInArrow(_hash(rot, probes, use), schema), index, k + 1), k + 1))
@@ -182,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 4
         want = min(k + 1, n)
         short = asked.join(found.groupBy(F.col("q").alias("c")).agg(F.count("*").alias("got")), "c", "left").where(F.coalesce("got", F.lit(0)) < want).drop("got")
         short = materialize(short)
-        if short.count() and rot.axes == 1:
+        if short.count():
             again = short.mapInArrow(_hash(rot, buckets, [0]), schema)
             more = _meet(again, base.mapInArrow(_hash(rot, 1, [0]), schema), k + 1)
             found = _best(found.unionByName(more), k + 1)

@@ -74,3 +74,25 @@ def test_query_op4(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got, want = answers(op4_ann(spark, sf_dir)), exact(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_recall_two_axes(spark, monkeypatch):
+    assert ann.TWO_AXES == float("inf")  # one form at all sizes
+    monkeypatch.setattr(ann, "TWO_AXES", 100)
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = answers(nearest(df, df.where("vec_id % 60 = 0"))), exact(rows, [r for r in rows if r[0] % 60 == 0], 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9 and all(len(v) == 20 for v in got.values())
+
+
+def test_short_answers_two_axes(spark, monkeypatch):
+    """A query far from all vectors gets its rows in both forms."""
+    u = np.random.default_rng(5).normal(size=16)
+    x = u + np.random.default_rng(6).normal(size=(2500, 16)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9000, (-u).tolist())], df.schema)
+    for bound in (float("inf"), 100):
+        monkeypatch.setattr(ann, "TWO_AXES", bound)
+        assert nearest(df, asked, k=5).count() == 5
