@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +19,10 @@ from corvane.llm.common import map_text, materialize
 
 #: Pieces packed together by one task. More pieces make more groups, each at most one bin worse.
 GROUP_PIECES = 60_000
-#: Nodes that the search of one bin may visit before its best filling so far is taken.
-NODES = 400
+#: Steps that the first filling of a bin may take, and that the search over all bins may take.
+NODES, SEARCH = 400, 200_000
+#: Bins with the most room that are searched together where all are too many for one search.
+TAIL = 24
 
 _SPECIAL = "<|endoftext|>"
 
@@ -123,19 +125,127 @@ def complete(sizes: list[int], left: dict[int, int], room: int, nodes: int = NOD
     return best
 
 
-def bin_completion(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item: bins are opened around the largest item left and completed.
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: for each small length a, items over ``capacity - a`` share a bin
+    with nothing that counts, larger halves stand alone, and what is left must fit their rest."""
+    x = np.sort(lengths)[::-1].astype(np.int64)
+    total = np.r_[0, np.cumsum(x)]
+    over = lambda v: int(np.searchsorted(-x, -v, side="left"))  # noqa: E731  items longer than v
+    best, half = -(-int(total[-1]) // capacity), over(capacity // 2)
+    for a in {0, *np.unique(x[x <= capacity // 2]).tolist()}:
+        alone, end = over(capacity - a), int(np.searchsorted(-x, -a, side="right")) if a else len(x)
+        free = (half - alone) * capacity - int(total[half] - total[alone])
+        best = max(best, half + max(0, -(-(int(total[end] - total[half]) - free) // capacity)))
+    return best
+
 
-    A filling found for the largest length is used again as long as its lengths last, so the
-    search runs per distinct filling and not per bin. Lengths must lie in 1 to ``capacity``.
+def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Best fit decreasing: each item goes to the fullest bin that takes it."""
+    free: list[int] = []
+    at: dict[int, list[list[int]]] = {}
+    bins: list[list[int]] = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect_left(free, n)
+        if i < len(free):
+            room = free[i]
+            own = at[room].pop()
+            if not at[room]:
+                del at[room]
+                free.pop(i)
+        else:
+            room, own = capacity, []
+            bins.append(own)
+        own.append(n)
+        if room - n not in at:
+            insort(free, room - n)
+        at.setdefault(room - n, []).append(own)
+    return bins
+
+
+def fillings(sizes: list[int], left: dict[int, int], room: int, waste: int, budget: list[int]) -> list[tuple[int, list[int]]]:
+    """All undominated fillings (waste, lengths) of ``room`` with at most ``waste`` left, least waste first.
+
+    ``sizes``: distinct lengths in descending order. A filling is dominated if a length left out
+    can take the place of some of its lengths, not the same one alone, that are together no
+    longer, without leaving the room: whatever that length would have held goes there instead.
     """
-    order = np.argsort(lengths, kind="stable")
-    values, first, count = np.unique(lengths[order], return_index=True, return_counts=True)
-    left = {int(v): int(c) for v, c in zip(values, count)}
-    next_at = {int(v): int(f) for v, f in zip(values, first)}
-    bins, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    sizes = [int(v) for v in values]
-    number = 0
+    out: list[tuple[int, list[int]]] = []
+    rest = [0] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        rest[i] = rest[i + 1] + sizes[i] * left[sizes[i]]
+
+    def dominated(own: list[int], free: int) -> bool:
+        sums = {0: 0}  # a sum, and the most lengths that make it
+        for s in own:
+            for t, k in list(sums.items()):
+                sums[t + s] = max(sums.get(t + s, 0), k + 1)
+        for x in sizes:
+            if left[x] > own.count(x):
+                for t, k in sums.items():
+                    if t <= x <= t + free and (t < x or k > 1):
+                        return True
+        return False
+
+    def grow(i: int, free: int, own: list[int]) -> None:
+        budget[0] -= 1
+        if budget[0] < 0 or free - rest[i] > waste:
+            return
+        while i < len(sizes) and (sizes[i] > free or not left[sizes[i]]):
+            i += 1
+        if i == len(sizes):
+            if free <= waste and not dominated(own, free):
+                out.append((free, own[:]))
+            return
+        s = sizes[i]
+        for k in range(min(left[s], free // s), -1, -1):
+            grow(i + 1, free - k * s, own + [s] * k)
+
+    grow(0, room, [])
+    return sorted(out, key=lambda f: (f[0], len(f[1])))
+
+
+def search(lengths: list[int], capacity: int, fewer: int, steps: int = SEARCH) -> list[list[int]] | None:
+    """A packing into fewer than ``fewer`` bins by bin completion, or None if there is none or the
+    steps are used up. Each level fills the bin of the largest item left with one undominated
+    filling after the other; a branch ends when its waste exceeds what one bin less allows."""
+    left: dict[int, int] = {}
+    for n in lengths:
+        left[n] = left.get(n, 0) + 1
+    total, budget = sum(lengths), [steps]
+    seen: set = set()
+
+    def go(bins: list[list[int]], waste: int) -> list[list[int]] | None:
+        sizes = sorted((s for s in left if left[s]), reverse=True)
+        if not sizes:
+            return bins
+        state = tuple((s, left[s]) for s in sizes)
+        if len(bins) + 1 >= fewer or budget[0] < 0 or state in seen:
+            return None
+        large = sizes[0]
+        left[large] -= 1
+        for free, own in fillings([s for s in sizes if left[s]], left, capacity - large, waste, budget):
+            for s in own:
+                left[s] -= 1
+            got = go([*bins, [large, *own]], waste - free)
+            for s in own:
+                left[s] += 1
+            if got is not None:
+                return got
+        left[large] += 1
+        seen.add(state)
+        return None
+
+    waste = (fewer - 1) * capacity - total
+    return go([], waste) if waste >= 0 else None
+
+
+def greedy_completion(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins opened around the largest item left, each completed with a least-waste filling. A filling
+    is used again as long as its lengths last, so the search runs per distinct filling."""
+    left: dict[int, int] = {}
+    for n in lengths:
+        left[n] = left.get(n, 0) + 1
+    sizes, bins = sorted(left), []
     while sizes:
         large = sizes[-1]
         left[large] -= 1
@@ -145,27 +255,52 @@ def bin_completion(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         for s in filling:
             need[s] = need.get(s, 0) + 1
         times = min(left[s] // k for s, k in need.items())
-        at = 0
-        for s in filling:
-            rows = order[next_at[s] : next_at[s] + times]
-            bins[rows], offset[rows] = number + np.arange(times), at
-            next_at[s] += times
-            at += s
-        number += times
+        bins += [list(filling) for _ in range(times)]
         for s, k in need.items():
             left[s] -= k * times
         if any(not left[s] for s in need):
             sizes = [s for s in sizes if left[s]]
-    return bins, offset
+    return bins
+
+
+def bin_completion(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each item. Lengths must lie in 1 to ``capacity``.
+
+    Best fit and greedy completion give the incumbent. While it exceeds the lower bound, the
+    branch and bound looks for one bin less, over all bins where they are few, else over the
+    bins with the most room.
+    """
+    own = lengths.tolist()
+    bins = min(best_fit(own, capacity), greedy_completion(own, capacity), key=len)
+    least = lower_bound(lengths, capacity) if len(lengths) else 0
+    while len(bins) > least:
+        bins.sort(key=sum)
+        head, rest = bins[:TAIL], bins[TAIL:]
+        got = search([n for b in head for n in b], capacity, len(head))
+        if got is None:
+            break
+        bins = got + rest
+    order = np.argsort(lengths, kind="stable")
+    values, first = np.unique(lengths[order], return_index=True)
+    next_at = dict(zip(values.tolist(), first.tolist()))
+    place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        at = 0
+        for n in b:
+            row = order[next_at[n]]
+            next_at[n] += 1
+            place[row], offset[row] = k, at
+            at += n
+    return place, offset
 
 
 def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: bins of ``size`` tokens, gapless from 0.
 
     Pieces of full length are sequences by themselves and are never grouped. The others are
-    dealt by a hash of their key (so no length or document can fill one group) to as many
-    groups as their counted number asks for; each group is packed by bin completion in one
-    task of bounded size. Lengths must lie in 1 to ``size``. ``sequence_id`` is unique over
+    dealt by a hash of their key and place (so no length, document or repeated row can fill one
+    group) to as many groups as their counted number asks for; each group is packed by bin
+    completion in one task of bounded size. Lengths must lie in 1 to ``size``. ``sequence_id`` is unique over
     all groups. Repeated rows are packed like others. Columns named ``sequence_id`` or
     ``offset`` are replaced, others pass through.
     """
@@ -173,8 +308,8 @@ def pack(pieces: DataFrame, size: int = 2048, length_col: str = "length", key_co
     part = rows.where(F.col(length_col) < size)
     full = rows.where(F.col(length_col) >= size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     groups = max(1, -(-part.count() // GROUP_PIECES))
-    # Copies of a row hash alike: the partition-independent salt is its crc.
-    dealt = part.withColumn("_g", F.pmod(F.xxhash64(*key_cols), F.lit(groups)).cast("long"))
+    # Rows that repeat have one key: their places in the stored table tell them apart.
+    dealt = part.withColumn("_g", F.pmod(F.xxhash64(*key_cols, F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = rows.columns
 
