@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import once, running
+
 OPEN, AND, CLOSE = "<turn:", "<and>", "</turn>"
 
 
@@ -33,14 +35,13 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """
     row = F.struct(F.col(turn_col).alias("t"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("x"))
     conv = turns.groupBy(F.col(conv_col).alias(conv_col)).agg(F.array_sort(F.collect_list(row)).alias("_s"))
-    roles = conv.withColumn("_roles", F.transform("_s", lambda x: x["r"]))
 
     def mark(x: Column, i: Column) -> Column:
-        joins = (i > 0) & (F.element_at("_roles", F.greatest(i, F.lit(1))) == x["r"])
+        joins = (i > 0) & (F.get("_s", i - 1)["r"] == x["r"])
         head = F.when(joins, F.lit(AND)).otherwise(F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escape(x["r"]), F.lit(">")))
         return F.struct(head.alias("m"), escape(x["x"]).alias("x"), (x["r"] == train_role).alias("train"))
 
-    parts = roles.withColumn("_p", F.transform("_s", mark))
+    parts = conv.withColumn("_p", F.transform("_s", mark))
     text = F.concat(F.array_join(F.transform("_p", lambda p: F.concat(p["m"], p["x"])), ""), F.lit(CLOSE))
     runs = F.flatten(F.transform("_p", lambda p: F.array(_run(F.length(p["m"]), F.lit(False)), _run(F.length(p["x"]), p["train"]))))
     return parts.select(conv_col, text.alias("formatted"), F.concat(runs, F.array(_run(F.lit(len(CLOSE)), F.lit(False)))).alias("loss_mask"))
@@ -57,15 +58,14 @@ def parse_chat(chats: DataFrame, text_col: str = "formatted", mask_col: str = "l
     The string is cut before each ``<``. A piece is a control string and the text behind it,
     so it spans two runs of the mask.
     """
-    cut = F.filter(F.split(F.col(text_col), "(?=<)"), lambda x: x != "")
-    df = chats.withColumn("_cut", F.filter(cut, lambda x: x != F.lit(CLOSE)))
-    df = df.withColumn("_at", F.transform("_cut", lambda x, i: F.when(x.startswith(AND), 0).otherwise(i + 1)))
+    cut = F.filter(F.split(F.col(text_col), "(?=<)"), lambda x: (x != "") & (x != CLOSE))
     # A piece of <and> belongs to the role of the last opening piece: closings stand between blocks.
-    df = df.withColumn("_role", F.transform("_cut", lambda x: F.when(x.startswith(OPEN), F.substring_index(F.substring(x, len(OPEN) + 1, 1 << 30), ">", 1))))
-    last = F.aggregate("_at", F.struct(F.lit(0).alias("k"), F.lit("").alias("list")), lambda a, x: F.struct(F.greatest(a["k"], x).alias("k"), F.concat(a["list"], F.greatest(a["k"], x).cast("string"), F.lit(",")).alias("list")), lambda a: a["list"])
-    df = df.withColumn("_last", F.transform(F.filter(F.split(last, ","), lambda x: x != ""), lambda x: x.cast("int")))
+    opens = lambda c: running(F.transform(c, lambda x, i: F.when(x.startswith(AND), 0).otherwise(i + 1)), lambda a, x: F.greatest(a, x))
+    role = lambda x: F.substring_index(F.substring(x, len(OPEN) + 1, 1 << 30), ">", 1)
     body = lambda x: F.when(x.startswith(AND), F.substring(x, len(AND) + 1, 1 << 30)).otherwise(F.substring(x, F.locate(">", x) + 1, 1 << 30))
-    turns = F.zip_with("_cut", "_last", lambda x, k: F.struct(unescape(F.element_at("_role", k)).alias("role"), unescape(body(x)).alias("text")))
+    turn = lambda c, x, k: F.struct(unescape(role(F.get(c, k - 1))).alias("role"), unescape(body(x)).alias("text"))
+    # Each array is bound in a lambda: a column would be computed anew inside the next one's.
+    turns = once(cut, lambda c: once(opens(c), lambda last: F.zip_with(c, last, lambda x, k: turn(c, x, k))))
     inner = F.filter(F.transform(F.col(mask_col), lambda r, i: F.struct(r["chars"].alias("chars"), (r["train"] & (i % 2 == 1)).alias("train"), i.alias("i"))), lambda r: r["i"] % 2 == 1)
-    loss = F.filter(F.zip_with("_cut", inner, lambda x, r: F.when(r["train"], unescape(F.right(x, r["chars"])))), lambda x: x.isNotNull())
-    return df.withColumns({"turns": turns, "loss_texts": loss}).drop("_cut", "_at", "_role", "_last")
+    loss = F.filter(F.zip_with(cut, inner, lambda x, r: F.when(r["train"], unescape(F.right(x, r["chars"])))), lambda x: x.isNotNull())
+    return chats.withColumns({"turns": turns, "loss_texts": loss})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,24 +50,50 @@ def release() -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared one named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a local one is made and set.
+    Where the session names none, a local one is made in local mode (tests). On a cluster that is
+    an error, as executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_corvane_scratch", None)
         if root is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = spark._corvane_scratch = tempfile.mkdtemp(prefix="corvane-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends at a stored table,
-    so losing an executor later costs a re-read and not a recomputation."""
+    so losing an executor later costs a re-read and not a recomputation. See ``discard``."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def stored(spark: SparkSession) -> list[str]:
+    """The scratch tables that this session has written and not yet discarded."""
+    if not hasattr(spark, "_corvane_tables"):
+        spark._corvane_tables = []
+    return spark._corvane_tables
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no result still reads. Operators delete what they have used up;
+    the tables below a returned DataFrame go with ``discard(spark, list(stored(spark)))`` once the
+    result is written."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in stored(spark):
+            stored(spark).remove(path)
 
 
 def bounded(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
@@ -89,6 +118,30 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     return [F.xxhash64(F.lit(1), df[id_col], df[text_col]).alias("_k1"), F.xxhash64(F.lit(2), df[text_col], df[id_col]).alias("_k2")]
 
 
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def running(values: Column, merge, block: int = 64) -> Column:
+    """``merge`` over each prefix of an array of ints, the whole one last. A fold over all of it would
+    copy what it has at each step, so blocks are folded by themselves, then the blocks' totals."""
+    none = F.array().cast("array<int>")
+
+    def scan(own: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x).cast("int"))).alias("out"))
+        return F.aggregate(own, F.struct(start.cast("int").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        totals = lambda bs: F.transform(bs, lambda x: F.aggregate(x, F.lit(0), lambda a, y: merge(a, y).cast("int")))
+        before = lambda bs: F.concat(F.array(F.lit(0)), scan(totals(bs), F.lit(0)))
+        joined = lambda bs: once(before(bs), lambda at: F.flatten(F.transform(bs, lambda x, k: scan(x, F.get(at, k)))))
+        return once(blocks, joined)
+
+    return F.when(F.size(values) == 0, none).otherwise(once(values, whole))
+
+
 def put(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns; an input column of the same name is replaced."""
     return df.withColumns(cols)
