@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and terms that disclose a protected value. Spark expressions only.
 
-Base spans are found by patterns. Around each, words of the text are weighed by what the
-corpus says about them: a term discloses a protected value e when the pointwise mutual
-information of term and value reaches a share of the information content of e, that is
-``log(n_te * N / (n_t * n_e)) >= share * log(N / n_e)`` over documents.
+Base spans are found by patterns. Words are weighed by what the corpus says about them: a term
+discloses a protected value e when the pointwise mutual information of term and value reaches a
+share of the information content of e, that is
+``log(n_te * N / (n_t * n_e)) >= share * log(N / n_e)``. All four count whole documents, rows that
+repeat included. A disclosing term is a span wherever it stands, in texts without the value too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded, materialize, row_key
+from corvane.llm.common import bounded, materialize, once, row_key, running
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -23,14 +24,12 @@ _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class Limits:
-    """``window``: characters on each side of a value in which terms are weighed; ``support``:
-    least number of documents in which term and value meet; ``generalise`` and ``remove``:
-    shares of the value's information content from which a term is replaced by its class, or
-    removed."""
+    """``support``: least number of documents in which term and value meet; ``generalise`` and
+    ``remove``: shares of the value's information content from which a term is replaced by its
+    class, or removed."""
 
-    window: int = 80
     support: int = 3
-    generalise: float = 0.9
+    generalise: float = 0.95
     remove: float = 0.999
 
 
@@ -46,27 +45,22 @@ _WORD = r"[\p{L}][\p{L}\p{N}]++"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
-def _once(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """All matches as spans in code points. Each match is put between two control characters
     (the text's own are first swapped for a third), and the string is cut at the first."""
     marked = F.regexp_replace(text, f"({pattern})", f"{_A}$1{_B}")
 
     def spans(parts: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            match = F.substring_index(p, _B, 1)
-            end = acc["at"] + F.length(match)
-            one = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), match.alias("value"))
-            return F.struct((acc["at"] + F.length(p) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        # A part behind the first holds a match, the second control character and what follows.
+        ends = running(F.transform(parts, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0)), lambda a, x: a + x)
+
+        def one(p: Column, i: Column, at: Column) -> Column:
+            value = F.substring_index(p, _B, 1)
+            return F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"))
 
-        zero = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step, lambda acc: acc["out"])
+        return once(ends, lambda e: F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p, i: one(p, i, F.get(e, i))))
 
-    return _once(F.split(marked, _A), lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(F.array().cast(_SPAN)))
+    return once(F.split(marked, _A), lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(F.array().cast(_SPAN)))
 
 
 def _digits(value: Column) -> Column:
@@ -81,7 +75,7 @@ def _luhn(value: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), weigh) % 10 == 0
 
-    return _once(_digits(value), passes)
+    return once(_digits(value), passes)
 
 
 def base_spans(text: Column) -> Column:
@@ -99,73 +93,86 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _A + _B, _C + _C)
 
 
-def _windows(rows: DataFrame, limits: Limits) -> DataFrame:
-    """One row per document, value and term near it: keys, value, term, start, end."""
-    s = rows.select("_k1", "_k2", "_text", F.explode("base").alias("s"))
-    w = limits.window
-    # Words cut by the window's edges are left out.
-    left = F.when(F.col("s.start") <= w, F.substring("_text", F.lit(1), F.col("s.start"))).otherwise(F.regexp_replace(F.substring("_text", F.col("s.start") - w + 1, F.lit(w)), r"^[\p{L}\p{N}]+", _C))
-    right = F.regexp_replace(F.substring("_text", F.col("s.end") + 1, F.lit(w)), r"[\p{L}\p{N}]+$", "")
-    right = F.when(F.length("_text") - F.col("s.end") <= w, F.substring("_text", F.col("s.end") + 1, F.lit(w))).otherwise(right)
-    side = s.select("_k1", "_k2", F.lower("s.value").alias("e"), F.explode(F.array(F.struct(left.alias("x"), (F.col("s.start") - F.length(left)).alias("at")), F.struct(right.alias("x"), F.col("s.end").alias("at")))).alias("w"))
-    term = side.select("_k1", "_k2", "e", F.col("w.at").alias("at"), F.explode(_found(F.col("w.x"), _WORD, TERM)).alias("t"))
-    return term.select("_k1", "_k2", "e", F.lower("t.value").alias("t"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+_EXTRA = "array<struct<kind:string,start:int,end:int,value:string,gone:boolean>>"
+_TERMS = "array<struct<t:string,gone:boolean>>"
 
 
-_EXTRA = "array<struct<kind:string,start:int,end:int,value:string,gone:boolean>>"
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+
 
+def _disclosing(own: DataFrame, slim: DataFrame, limits: Limits) -> DataFrame | None:
+    """(_k1, _k2, terms): what each text holds of the terms that disclose a value; None if no value
+    is in enough documents.
 
-def _disclosing(docs: DataFrame, own: DataFrame, slim: DataFrame, limits: Limits) -> DataFrame:
-    """(_k1, _k2, extra): the terms of each text that disclose a value they stand near."""
-    some = slim.where(F.size("base") > 0).dropDuplicates(["_k1", "_k2"])
-    near = materialize(_windows(some, limits))
-    # n_te, n_e and n_t count documents; copies of a whole row count once in n_te.
-    met = near.select("e", "t", "_k1", "_k2").distinct()
+    Only values and terms that can reach the limits are paired: values of ``support`` documents
+    at least, and terms whose documents with such values, a lower bound of n_t, are few enough.
+    """
     n = F.lit(float(max(2, slim.count())))
-    n_e = some.select("_k1", "_k2", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    # The documents in which a term stands near any value are a lower bound of n_t: pairs that
-    # fail with the bound fail with n_t, so frequent words go before all texts are read.
-    least = met.select("t", "_k1", "_k2").distinct().groupBy("t").agg(F.count("*").alias("m_t"))
-    pairs = met.groupBy("e", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= limits.support).join(n_e, "e").join(least, "t")
-    pairs = materialize(pairs.where(F.col("m_t") <= F.col("n_te") * F.pow(n / F.col("n_e"), F.lit(1 - limits.generalise)) * 1.000001).drop("m_t"))
-    terms = pairs.select("t").distinct()
-    if not (held := terms.count()):
-        return near.select("_k1", "_k2", F.array().cast(_EXTRA).alias("extra")).where("false")
-    words = own.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+"))).alias("t"))
-    n_t = words.join(bounded(terms, held), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    some = slim.where(F.size("base") > 0).select("_r", "_text", F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("es"))
+    held = materialize(some.select("_r", F.explode("es").alias("e")))
+    values = materialize(held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= limits.support))
+    if not (known := values.count()):
+        return None
+    meets = materialize(held.join(bounded(values, known), "e"))
+    # n_t may be this large at most for a value of n_e documents: it grows with n_e.
+    bound = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - limits.generalise)) * 1.000001
+    rows = meets.groupBy("_r").agg(F.max("n_e").alias("n_e")).select("_r", bound.alias("most"))
+    near = materialize(some.join(rows, "_r").select("_r", "most", F.explode(_words(F.col("_text"))).alias("t")).where("t <> ''"))
+    terms = near.groupBy("t").agg(F.count("*").alias("m"), F.max("most").alias("most")).where((F.col("m") >= limits.support) & (F.col("m") <= F.col("most")))
+    terms = materialize(terms.select("t", "most"))
+    few = bounded(terms, terms.count())
+    words = own.select("_k1", "_k2", F.explode(_words(F.col("_text"))).alias("t"))
+    stands = materialize(words.join(few.select("t"), "t", "left_semi"))
+    n_t = stands.groupBy("t").agg(F.count("*").alias("n_t")).join(few, "t").where(F.col("n_t") <= F.col("most")).select("t", "n_t")
+    n_t = materialize(n_t)
+    pairs = near.select("_r", "t").join(bounded(n_t, n_t.count()), "t").join(meets, "_r").groupBy("e", "t").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     content, mutual = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     share = F.when(content > 0, mutual / content).otherwise(0.0)
-    told = pairs.join(n_t, "t").select("e", "t", share.alias("share")).where(F.col("share") >= limits.generalise)
-    more = near.join(told, ["e", "t"]).groupBy("_k1", "_k2", "start", "end", "t").agg(F.max("share").alias("share"))
-    kind = F.struct(F.lit(TERM).alias("kind"), "start", "end", F.col("t").alias("value"), (F.col("share") >= limits.remove).alias("gone"))
-    return more.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(kind)).cast(_EXTRA).alias("extra"))
+    told = pairs.where(F.col("n_te") >= limits.support).select("t", share.alias("share")).where(F.col("share") >= limits.generalise)
+    told = materialize(told.groupBy("t").agg((F.max("share") >= limits.remove).alias("gone")))
+    return materialize(stands.join(bounded(told, told.count()), "t").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("t", "gone")).cast(_TERMS).alias("terms")))
+
+
+def _spans_of(text: Column, base: Column, terms: Column) -> Column:
+    """The places of ``terms`` in a text, outside its base spans."""
+    gone = F.map_from_entries(terms)
+    own = F.filter(_found(text, _WORD, TERM), lambda w: F.element_at(gone, F.lower(w["value"])).isNotNull())
+    own = F.filter(own, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
+    return F.transform(own, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), F.element_at(gone, F.lower(w["value"])).alias("gone"))).cast(_EXTRA)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, limits: Limits, names: list[str], slim_only: bool) -> DataFrame:
-    """``names`` of each row with ``base`` and ``extra``. Only rows with base spans meet the
-    disclosing terms; no other text moves."""
+    """``names`` of each row with ``base`` and ``extra``. Texts with a disclosing term are read once
+    more; no other text moves."""
     own = docs.select(*[F.col(f"`{c}`") for c in names], _clean(F.col(text_col)).alias("_text"), *row_key(docs, id_col, text_col))
     found = own.withColumn("base", base_spans(F.col("_text")))
     hit = F.size("base") > 0
-    slim = materialize(found.select(*(names if slim_only else []), "_k1", "_k2", "base", F.when(hit, F.col("_text")).alias("_text")))
-    extra = _disclosing(docs, own, slim, limits)
-    rows = slim if slim_only else found
-    none = F.array().cast(_EXTRA)
-    both = rows.where(hit).join(extra, ["_k1", "_k2"], "left").unionByName(rows.where(~hit).withColumn("extra", none))
-    outside = F.filter(F.coalesce("extra", none), lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return both.withColumn("extra", outside)
+    slim = materialize(found.select(*(names if slim_only else []), "_k1", "_k2", "base", F.when(hit, F.col("_text")).alias("_text"), F.monotonically_increasing_id().alias("_r")))
+    terms = _disclosing(own, slim, limits)
+    rows, none = (slim if slim_only else found), F.array().cast(_EXTRA)
+    if terms is None:
+        return rows.withColumn("extra", none)
+    held, most = terms.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    few = bounded(terms, held + most)
+    if not slim_only:
+        both = found.join(few, ["_k1", "_k2"], "left")
+        return both.withColumn("extra", F.when(F.col("terms").isNull(), none).otherwise(_spans_of(F.col("_text"), F.col("base"), F.col("terms")))).drop("terms")
+    told = found.join(few, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", _spans_of(F.col("_text"), F.col("base"), F.col("terms")).alias("extra"))
+    told = materialize(told)
+    return rows.join(bounded(told, held + most, 50_000), ["_k1", "_k2"], "left").withColumn("extra", F.coalesce("extra", none))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per input row: id, ``base`` and ``spans`` (kind, start, end, value), sorted by kind
     as listed and start; terms come last.
 
-    Positions are code points, end exclusive. The base patterns read each text once. Only
-    texts with a base span are kept for the second step, which weighs the words around each
-    value; document counts of those words alone are taken from all texts, pre-aggregated. A
-    term is a span only near the value it discloses, so texts without a base span have none.
-    Null and empty texts have no spans; an empty table gives an empty table; other columns
-    are ignored whatever their names. Rows that repeat get equal results.
+    Positions are code points, end exclusive. The base patterns read each text once. Counts of
+    values, terms and both cover whole documents and all rows, those that repeat included. A
+    disclosing term is a span in each text where it stands, outside base spans. Null and empty
+    texts have no spans; an empty table gives an empty table; other columns are ignored whatever
+    their names. Rows that repeat get equal results.
     """
     both = _marked(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")), "_id", "_raw", limits, ["_id"], True)
     plain = F.transform("extra", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
@@ -174,23 +181,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """``docs`` with the spans of ``find_pii`` taken out of ``text_col``: base values become their
-    kind in brackets, terms that tell as much as the value itself are removed, other
-    disclosing terms become ``[TERM]``. Texts without spans, nulls included, stay as they
-    are; all rows and columns pass through in their order."""
+    kind in brackets, terms that tell as much as the value itself are removed, other disclosing
+    terms become their class: ``[CODE]`` with a digit, ``[NAME]`` with a capital first, else
+    ``[TERM]``. Texts without spans, nulls included, stay as they are; all rows and columns pass
+    through in their order."""
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_raw"))
     both = _marked(work, "_id", "_raw", limits, ["_row", "_raw"], False)
-    text = F.when(F.size("base") == 0, F.col("_raw")).otherwise(_sanitised())
+    text = F.when((F.size("base") == 0) & (F.size("extra") == 0), F.col("_raw")).otherwise(_sanitised())
     return both.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _sanitised() -> Column:
-    """The text with each span replaced; spans that overlap become one, named by the first."""
+    """The text with each span replaced; spans that overlap become one, named by the first. The text
+    is cut in a form with four bytes a character, so that no cut scans it."""
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("by")))
-    terms = F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["gone"], "").otherwise("[TERM]").alias("by")))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("_raw"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, s["by"])).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(F.array_sort(F.concat(base, terms)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("_raw"), acc["at"] + 1, F.length("_raw"))))
+    kind = lambda v: F.when(v.rlike(r"\p{N}"), "[CODE]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+    terms = F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["gone"], "").otherwise(kind(x["value"])).alias("by")))
+
+    def joined(wide: Column, spans: Column) -> Column:
+        # A mark of the byte order before each cut keeps one of the text's own from being read as such.
+        cut = lambda a, b: F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, a * 4 + 1, (b - a) * 4)), "UTF-32")
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)))
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), s["by"])).otherwise("")
+        whole = lambda e: F.concat(F.array_join(F.transform(spans, lambda s, i: piece(s, F.get(e, i))), ""), cut(F.element_at(e, -1), (F.length(wide) / 4).cast("int")))
+        return once(ends, whole)
+
+    return once(F.encode("_raw", "UTF-32"), lambda wide: once(F.array_sort(F.concat(base, terms)), lambda spans: joined(wide, spans)))

@@ -2,14 +2,17 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import langid
+from corvane.llm.common import running
 from corvane.llm.chat import format_chat, parse_chat
 from corvane.llm.html_extract import Weights, best_run, extract_main_text, learn_weights, main_text
 from corvane.llm.pii import find_pii, sanitise
@@ -35,6 +38,22 @@ def test_chat_round_trip(spark):
     assert format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    parse_chat(format_chat(df.limit(3))).first()
+    began = time.perf_counter()
+    got = parse_chat(format_chat(df)).first()
+    assert [t.text for t in got.turns] == [f"t{i}" for i in range(20_000)] and [t.role for t in got.turns[:4]] == ["user", "assistant", "assistant", "user"]
+    assert time.perf_counter() - began < 15
+
+
+def test_running(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        v = [(i * 7919) % 101 - 50 for i in range(n)]
+        r = spark.createDataFrame([(v,)], "v array<int>").select(running(F.col("v"), lambda a, x: a + x).alias("s"), running(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).first()
+        assert r.s == list(itertools.accumulate(v)) and r.m == list(itertools.accumulate([0, *v], max))[1:]
+
+
 # ---- personal data
 
 
@@ -63,28 +82,61 @@ def test_base_spans(spark):
         assert [(s.kind, s.start, s.end) for s in r.base] == slow_base(texts[r.doc_id]), texts[r.doc_id][:200]
 
 
+def plain_terms(rows, support=3, share=0.95):
+    """Disclosing terms by brute force: counts over all rows of whole texts."""
+    words = lambda t: {w for w in re.split(r"[^\w]|_", (t or "").lower()) if w}
+    sets = [words(t) for _, t in rows]
+    values = [{t[a:b].lower() for _, a, b in slow_base(t)} for _, t in rows]
+    n, out = len(rows), {}
+    for e in set().union(*values):
+        n_e = sum(e in v for v in values)
+        for w in set().union(*(s for s, v in zip(sets, values) if e in v)):
+            n_te, n_t = sum(w in s and e in v for s, v in zip(sets, values)), sum(w in s for s in sets)
+            if n_te >= support and n > n_e:
+                told = math.log(n_te * n / (n_t * n_e)) / math.log(n / n_e)
+                if told >= share:
+                    out[w] = max(out.get(w, 0), told)
+    return out
+
+
 def test_disclosing_terms(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5)))
     rows = [(i, " ".join(word() for _ in range(30))) for i in range(300)]
-    rows += [(1000 + i, f"{word()} call Zorblatt the plumber at zb@mail.example, {word()} now") for i in range(5)]
-    rows += [(2000 + i, f"the {word()} call plumber now at") for i in range(100)]
-    rows += [(3000, "nothing of Zorblatt here"), (3001, None), (3002, "4111111111111111"), (3002, "4111111111111111")]
-    df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, spans string, base int")
-    out = {r.doc_id: r for r in find_pii(df).collect()}
-    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
-    for i in range(5):
-        t = rows[300 + i][1]
-        assert [t[s.start : s.end] for s in out[1000 + i].spans] == ["zb@mail.example", "Zorblatt"]
-        assert clean[1000 + i] == t.replace("zb@mail.example", "[EMAIL]").replace("Zorblatt", "[TERM]")
-    assert out[3000].spans == [] and clean[3000] == "nothing of Zorblatt here"
-    assert clean[3001] is None and clean[3002] == "[CARD]"
-    assert find_pii(df).count() == len(rows) and sanitise(df.limit(0)).count() == 0 and sanitise(df).columns == df.columns and sanitise(df).count() == len(rows)
+    far = " ".join(["filler"] * 60)
+    rows += [(1000 + i, f"{word()} call Zorblatt the plumber {far} at zb@mail.example, {word()} now and x{i}") for i in range(25)]
+    rows += [(2000 + i, f"the {word()} call plumber now at {far}") for i in range(100)]
+    rows += [(3000, "nothing of Zorblatt there"), (3001, None), (3002, "4111111111111111"), (3002, "4111111111111111"), (3003, "")]
+    rows += [(4000, "only +49 170 5557713 knows quuxword7 here")] * 50  # rows that repeat count
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, spans string, base int").repartition(7)
+    terms = plain_terms(rows)
+    assert {"zorblatt", "quuxword7"} <= set(terms) and "filler" not in terms and "plumber" not in terms
+    texts = dict(rows)
+    out, clean = find_pii(df).collect(), {r.doc_id: r.text for r in sanitise(df).collect()}
+    for r in out:
+        t = texts[r.doc_id] or ""
+        base = slow_base(t)
+        want = [("term", m.start(), m.end()) for m in re.finditer(r"[^\W\d_][^\W_]+", t) if m[0].lower() in terms and not any(m.start() < b and a < m.end() for _, a, b in base)]
+        assert [(s.kind, s.start, s.end) for s in r.spans] == base + want
+    assert clean[3000] == "nothing of [NAME] there" and "Zorblatt" not in clean[1003] and "[EMAIL]" in clean[1003]
+    assert clean[3001] is None and clean[3002] == "[CARD]" and "quuxword7" not in clean[4000] and clean[2000] == texts[2000]
+    assert len(out) == len(rows) and sanitise(df.limit(0)).count() == 0 and find_pii(df.limit(0)).count() == 0 and sanitise(df).columns == df.columns and sanitise(df).count() == len(rows)
+
+
+def test_many_matches_are_linear(spark):
+    text = " ".join(f"user{i}@mail.example and 10.0.{i % 250}.7" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    find_pii(df.limit(0)).count()  # the JVM compiles once
+    began = time.perf_counter()
+    got = find_pii(df).first()
+    assert len(got.base) == 40_000 and [(s.kind, s.start, s.end) for s in got.base] == slow_base(text)
+    assert time.perf_counter() - began < 20
+    assert sanitise(df).first().text.count("[EMAIL]") == 20_000
 
 
 def test_sanitise_keeps_control_characters(spark):
-    df = spark.createDataFrame([(1, "\x01a\x02 mail x@y.org \x01"), (2, "\x01\x02")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in sanitise(df).collect()} == {1: "\x01a\x02 mail [EMAIL] \x01", 2: "\x01\x02"}
+    df = spark.createDataFrame([(1, "\x01a\x02 mail x@y.org \x01"), (2, "\x01\x02"), (3, "\ufeffa 🙂x@y.org\ufeff")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in sanitise(df).collect()} == {1: "\x01a\x02 mail [EMAIL] \x01", 2: "\x01\x02", 3: "\ufeffa 🙂[EMAIL]\ufeff"}
 
 
 def test_query_op6(spark, sf_dir):
