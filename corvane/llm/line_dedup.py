@@ -1,142 +1,130 @@
-"""Fuzzy line deduplication by MinHash over character shingles. Spark expressions only."""
+"""Fuzzy line deduplication by MinHash over character shingles: Spark expressions, but for crowded
+buckets, whose lines meet in blocks."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_IDS, bounded, join_hot, materialize, row_key
+from corvane.llm.common import BROADCAST_IDS, bounded, join_hot, materialize, once, row_key
 from corvane.llm.components import components
+from corvane.llm.crowds import crowd_links
+from corvane.llm.set_join import alike
 
 
 @dataclass(frozen=True)
 class Shape:
-    """``chars``: characters of a shingle; ``every``: shingles start at every character, else where
-    words start and at every character of longer words; ``bands`` of ``rows`` minima each; ``jaccard``: least
-    similarity of shingle sets; ``least``: lines with fewer characters are left alone."""
+    """``chars``: characters of a shingle, and of the shortest line that is compared; ``bands`` of
+    ``rows`` minima each, a power of two minima in all; ``jaccard``: least similarity of shingle
+    sets; ``small``: buckets of so many lines are compared pair by pair."""
 
     chars: int = 12
-    every: bool = False
     bands: int = 4
     rows: int = 2
     jaccard: float = 0.8
-    least: int = 32
+    small: int = 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
-    """Lines of at least ``least`` characters with their row's keys, place and 64-bit hash."""
+    """Lines of at least a shingle's length with their row's keys, their place and their hash, twice."""
     cut = docs.select(F.col(id_col).alias("_id"), *row_key(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("_k", "_line"))
     cut = cut.select("_id", "_k1", "_k2", "_k", F.trim("_line", F.lit(" \t\r")).alias("_line"))
-    return cut.where(F.length("_line") >= shape.least).withColumn("_c", F.xxhash64("_line"))
+    return cut.where(F.length("_line") >= shape.chars).withColumns({"_c": F.xxhash64("_line"), "_d": F.xxhash64(F.lit(1), "_line")})
 
 
-def shingles(line: Column, chars: int) -> Column:
-    """The runs of up to ``chars`` characters that start where a word starts, at every character of
-    a word of which more than ``chars`` are left, and at every character from U+0E00 on, where
-    scripts without spaces lie. The match looks ahead for the shingle and consumes one character
-    of a longer word, else the rest of the word, so that every character is in a shingle."""
-    return F.regexp_extract_all(line, F.lit(rf"(?=([^\x00-\x20].{{0,{chars - 1}}}))(?:[!-\x{{0DFF}}](?=[!-\x{{0DFF}}]{{{chars}}})|[!-\x{{0DFF}}]++|.)"), 1)
+def _starts(wide: Column, chars: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest((F.length(wide) / 4).cast("int") - chars, F.lit(0)))
 
 
-def _hashes(line: Column, shape: Shape) -> Column:
-    """The hashes of a line's shingles. Every character's are cut from a form with four bytes a
-    character, without a scan; it is bound in a lambda, as else it is made anew for each shingle."""
-    if not shape.every:
-        return F.transform(shingles(line, shape.chars), lambda s: F.xxhash64(s))
-    at = F.sequence(F.lit(0), F.greatest(F.length(line) - shape.chars, F.lit(0)))
-    cut = lambda w: F.transform(at, lambda i: F.xxhash64(F.substring(w, i * 4 + 1, F.lit(4 * shape.chars))))
-    return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), cut), 1)
+def _shingle(wide: Column, at: Column, chars: int) -> Column:
+    """The hash of the shingle that starts at a character. ``wide`` has four bytes a character, so
+    that it is cut without a scan."""
+    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * chars)))
 
 
-def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
-    """(_c, n, m0, m1, ...) per distinct line, n: how often it stands. The minima are taken by the
-    hash aggregate, combined before the shuffle, and the same aggregate makes the lines distinct."""
-    rows = lines.select("_c", F.posexplode(_hashes(F.col("_line"), shape)).alias("i", "h"))
-    m = shape.bands * shape.rows
-    rows = rows.select("_c", "i", *[F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(-(-m // 2))])
-    # One hash serves two minima, with its lower and its upper half.
-    half = [F.col(f"x{k // 2}").bitwiseAND(0xFFFFFFFF) if k % 2 == 0 else F.shiftrightunsigned(f"x{k // 2}", 32) for k in range(m)]
-    return rows.groupBy("_c").agg(F.count_if(F.col("i") == 0).alias("n"), *[F.min(x).alias(f"m{k}") for k, x in enumerate(half)])
-
+def _set(line: Column, shape: Shape) -> Column:
+    """The set of a line's shingles. The wide form is bound in a lambda, so that it is made once."""
+    one = lambda w: F.array_distinct(F.transform(_starts(w, shape.chars), lambda i: _shingle(w, i, shape.chars)))
+    return once(F.encode(line, "UTF-32"), one)
 
-def _alike(a: Column, b: Column, jaccard: float) -> Column:
-    """Whether two sets reach the Jaccard similarity: ``both / (a + b - both) >= j``, solved for
-    ``both``, so that a filter computes the intersection once and only for sets of like sizes."""
-    near = F.least(F.size(a), F.size(b)) >= F.lit(jaccard) * F.greatest(F.size(a), F.size(b)) - 1e-9
-    return near & (F.size(F.array_intersect(a, b)) >= F.lit(jaccard / (1 + jaccard)) * (F.size(a) + F.size(b)) - 1e-9)
 
+def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
+    """(_c, n, m0, m1, ...) per distinct line, n: how often it stands. A shingle at every character
+    gives one hash; its last bits name the minimum it counts for (one permutation). The minima
+    are taken by the hash aggregate, combined before the shuffle, and the same aggregate makes
+    the lines distinct. The list of starts reads the wide form, so that this is made once a line
+    and not once a shingle."""
+    m = shape.bands * shape.rows
+    wide = lines.select("_c", F.encode("_line", "UTF-32").alias("w"))
+    rows = wide.select("_c", "w", F.explode(_starts(F.col("w"), shape.chars)).alias("i")).select("_c", "i", _shingle(F.col("w"), F.col("i"), shape.chars).alias("h"))
+    return rows.groupBy("_c").agg(F.count_if(F.col("i") == 0).alias("n"), *[F.min(F.when(F.col("h").bitwiseAND(m - 1) == k, F.col("h"))).alias(f"m{k}") for k in range(m)])
 
-def _verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (u, v) whose sets are alike."""
-    a, b = sets.select(F.col("_c").alias("u"), F.col("s").alias("a")), sets.select(F.col("_c").alias("v"), F.col("s").alias("b"))
-    return pairs.join(a, "u").join(b, "v").where(_alike(F.col("a"), F.col("b"), shape.jaccard)).select("u", "v")
 
+def _buckets(sig: DataFrame, shape: Shape) -> DataFrame:
+    """(c, key) per line and band. A band without a shingle of the line has no bucket."""
+    keys = []
+    for b in range(shape.bands):
+        own = [F.col(f"m{b * shape.rows + i}") for i in range(shape.rows)]
+        keys.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *own)))
+    return sig.select(F.col("_c").alias("c"), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key"))
 
-def exact_links(sets: DataFrame, good: DataFrame, shape: Shape) -> DataFrame:
-    """All links (u, v) among ``sets`` between lines that ``good`` has not yet put in one component.
 
-    With shingles in one order, rarest first, two sets of similarity j share one of the first
-    ``n - ceil(j * n) + 1`` of each, so only lines with a common rare shingle are compared and no
-    pair is lost, however many lines share a frequent passage.
-    """
-    roots = components(good).select(F.col("node").alias("_c"), "root")
-    own = sets.join(roots, "_c", "left").select("_c", F.coalesce("root", "_c").alias("r"), F.size("s").alias("n"), "s")
-    items = materialize(own.select("_c", "r", "n", F.explode("s").alias("h")))
-    shared = materialize(items.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"))
-    # A line's shingles that no other has come first in the order and meet nobody.
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(shape.jaccard) - 1e-9) + 1
-    mine = join_hot(items, shared, ["h"], "f", items.count()).groupBy("_c", "r", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x"))
-    room = (most - (F.col("n") - F.size("x"))).cast("int")
-    first = mine.where(room > 0).select("_c", "r", "n", F.size("x").alias("m"), F.posexplode(F.slice("x", F.lit(1), room)).alias("i", "x"))
-    first = first.select("_c", "r", "n", (F.col("m") - F.col("i")).alias("m"), "x.h")
-    first = materialize(first)
-    apart = first.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("h")
-    first = materialize(first.join(apart, "h", "left_semi"))
-    p, q = (first.select("h", *[F.col(c).alias(c + side) for c in ("_c", "r", "n", "m")]) for side in "pq")
-    # From the first common shingle on, both have enough left to be alike.
-    like = F.least("mp", "mq") >= F.lit(shape.jaccard / (1 + shape.jaccard)) * (F.col("np") + F.col("nq")) - 1e-9
-    pairs = p.join(q, "h").where((F.col("_cp") < F.col("_cq")) & (F.col("rp") != F.col("rq")) & like).select(F.col("_cp").alias("u"), F.col("_cq").alias("v")).distinct()
-    return materialize(_verified(pairs, sets, shape))
+def _like(pairs: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (u, v) with ``like``, from the lines themselves: they are shorter than their sets."""
+    a, b = found.select(F.col("_c").alias("u"), F.col("_line").alias("a")), found.select(F.col("_c").alias("v"), F.col("_line").alias("b"))
+    like = once(F.struct(_set(F.col("a"), shape).alias("a"), _set(F.col("b"), shape).alias("b")), lambda p: alike(p["a"], p["b"], shape.jaccard))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", like.alias("like"))
 
 
 def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
     """Verified links (u, v) between hashes of distinct lines, from their stored signatures, and
-    the stored lines that stand more than once or may have a link.
+    the stored places of lines that stand more than once or may have a link.
 
-    Lines of a bucket are compared with one centre, by exact Jaccard of their shingle sets. All
-    lines of buckets in which one fails are then linked exactly by ``exact_links``, so every pair
-    that shares a bucket and is alike ends in one component.
+    Small buckets are compared pair by pair, larger ones with their least line; what is unlike it
+    is then compared with all of its bucket by ``crowd_links``, so every pair that shares a
+    bucket and is alike ends in one component.
     """
-    r = shape.rows
-
-    def named(hash_: Column, band: Column) -> Column:
-        return hash_.bitwiseAND(-16).bitwiseOR(band)  # the band is the key's last four bits
-
-    keys = [named(F.xxhash64(F.lit(b), *[F.col(f"m{b * r + i}") for i in range(r)]), F.lit(b).cast("long")) for b in range(shape.bands)]
-    rows = sig.select(F.col("_c").alias("c"), F.explode(F.array(*keys)).alias("key"))
-    # Another order of the hashes per band: the buckets of one family get different centres.
-    mask = F.xxhash64(F.col("key").bitwiseAND(15), F.lit(0))
-    order = F.col("c").bitwiseXOR(mask)
-    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
-    full = materialize(full.select("key", "n", F.col("low").bitwiseXOR(mask).alias("v"), F.col("high").bitwiseXOR(mask).alias("w")))
+    rows = _buckets(sig, shape)
+    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("v"), F.max("c").alias("w")).where("n > 1")
+    full = materialize(full)
     # A bucket of two is its own pair; only members of larger ones are looked up.
-    large = full.where("n > 2").select("key", "v")
-    met = materialize(rows.join(bounded(large, large.count(), BROADCAST_IDS // 2), "key").select("c", "v", "key"))
-    pairs = met.where("c <> v").select(F.col("c").alias("u"), "v").unionByName(full.where("n = 2").select(F.col("w").alias("u"), "v")).distinct()
-    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_c")).groupBy("_c").agg(F.lit(1).alias("one")).select("_c"))
-    # Lines that stand often or share a bucket are stored once, for this and for the caller.
-    wanted = materialize(ends.unionByName(sig.where("n > 1").select("_c")).distinct())
-    stored = materialize(lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c", "left_semi"))
-    found = stored.join(bounded(ends, ends.count(), BROADCAST_IDS), "_c", "left_semi").select("_c", "_line").dropDuplicates(["_c"])
-    sets = materialize(found.select("_c", F.array_distinct(_hashes(F.col("_line"), shape)).alias("s")))
-    good = materialize(_verified(pairs, sets, shape))
-    failed = met.where("c <> v").join(good.withColumnRenamed("u", "c"), ["c", "v"], "left_anti").select("key").distinct()
-    left = materialize(met.join(failed, "key", "left_semi").select(F.col("c").alias("_c")).distinct())
-    if not (n := left.count()):
+    more = full.where("n > 2").select("key", "n", "v")
+    met = materialize(rows.join(bounded(more, more.count(), BROADCAST_IDS // 3), "key").select("c", "v", "n", "key"))
+    crowd, few = met.where(F.col("n") > shape.small), met.where(F.col("n") <= shape.small).select("c", "key")
+    within = few.join(few.select(F.col("c").alias("v"), "key"), "key").where("c > v").select(F.col("c").alias("u"), "v")
+    pairs = full.where("n = 2").select(F.col("w").alias("u"), "v").unionByName(within).unionByName(crowd.where("c <> v").select(F.col("c").alias("u"), "v"))
+    pairs = materialize(pairs.distinct())
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("_c")).groupBy("_c").agg(F.lit(True).alias("end")).unionByName(sig.where("n > 1").select("_c", F.lit(False).alias("end")))
+    wanted = materialize(ends.groupBy("_c").agg(F.max("end").alias("end")))
+    stored = lines.join(bounded(wanted, wanted.count(), BROADCAST_IDS), "_c").select("_id", "_k1", "_k2", "_k", "_c", "_d", F.when(F.col("end"), F.col("_line")).alias("_line"))
+    stored = materialize(stored)
+    found = materialize(stored.where("_line IS NOT NULL").select("_c", "_line").dropDuplicates(["_c"]))
+    told = materialize(_like(pairs, found, shape))
+    good = told.where("like").select("u", "v")
+    # Members of larger buckets, with whether they are like the centre; others meet all exactly.
+    known = crowd.join(told.withColumnRenamed("u", "c"), ["c", "v"], "left").select("key", "c", F.coalesce("like", F.lit(True)).alias("joined"))
+    known = materialize(known)
+    failed = known.where("NOT joined").select("key").distinct()
+    left = materialize(known.join(bounded(failed, failed.count(), BROADCAST_IDS), "key", "left_semi"))
+    if left.isEmpty():
         return good, stored
-    return good.unionByName(exact_links(sets.join(bounded(left, n, BROADCAST_IDS), "_c", "left_semi"), good, shape)), stored
+    return good.unionByName(crowd_links(left, found.withColumnRenamed("_line", "x"), lambda x: _number_sets(x, shape.chars), shape.jaccard)), stored
+
+
+def _number_sets(lines: list[str], chars: int) -> list[np.ndarray]:
+    """The sets of the lines' shingles as 64-bit numbers."""
+    out = []
+    for line in lines:
+        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        h = np.zeros(max(1, len(code) - chars + 1), np.uint64)
+        for k in range(min(chars, len(code))):
+            h = (h ^ code[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(np.unique(h))
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
@@ -144,28 +132,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines whose shingle sets are alike are one component, however far apart; its first line,
     by id (null last) and place, stays, and the others leave all texts. Equal lines (after
-    trimming) are one node from the start. Lines under ``least`` characters always stay. What
-    moves between stages is hashes and places of lines, and the text of lines to verify. A null text stays null; a text may become empty, its row stays. Rows that
-    repeat id and text are read as one row and get equal results. Columns pass through; those
-    named as the counts are replaced. An empty table gives an empty table.
+    trimming) are one node from the start. Lines shorter than a shingle always stay: they are
+    brackets, marks and numbers, and no passage. What moves between stages is hashes and places
+    of lines, and the text of lines to verify. Lines are named by 64-bit hashes; a second one
+    guards against strangers of one name, of which the one with the larger stays.
+
+    A null text stays null; a text may become empty, its row stays. Rows that repeat id and text
+    are read as one row and get equal results. Columns pass through; those named as the counts
+    are replaced. An empty table gives an empty table.
     """
     lines = _lines(docs, id_col, text_col, shape)
     sig = materialize(_signatures(lines, shape))
     links, stored = line_links(lines, sig, shape)
     roots = components(links).select(F.col("node").alias("_c"), "root")
     often = sig.select("_c", "n").join(roots, "_c", "left").where("n > 1 OR root IS NOT NULL")
-    often = materialize(often.select("_c", F.coalesce("root", "_c").alias("root")))
-    held = materialize(stored.join(bounded(often, often.count(), BROADCAST_IDS // 2), "_c").select("_id", "_k1", "_k2", "_k", "root"))
+    own = stored.groupBy("_c").agg(F.min("_d").alias("_d"))
+    often = materialize(often.select("_c", F.coalesce("root", "_c").alias("root")).join(own, "_c"))
+    held = materialize(stored.join(bounded(often, often.count(), BROADCAST_IDS // 3), ["_c", "_d"]).select("_id", "_k1", "_k2", "_k", "root"))
     place = F.struct(F.col("_id").isNull().alias("z"), "_id", "_k1", "_k2", "_k")
-    first = held.groupBy("root").agg(F.min(place).alias("first"))
-    lost = held.join(first, "root").where(place != F.col("first")).groupBy("_k1", "_k2").agg(F.collect_set("_k").alias("_lost"))
-    lost = materialize(lost)
+    first = materialize(held.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    lost = join_hot(held, first, ["root"], "n", held.count()).where(place != F.col("first"))
+    lost = materialize(lost.groupBy("_k1", "_k2").agg(F.collect_set("_k").alias("_lost")))
+    rows, places = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("_lost")), F.lit(0))).first()
     names = [c for c in docs.columns if c not in ("lines_total", "lines_dropped", text_col)]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col), *row_key(docs, id_col, text_col))
-    both = keyed.join(bounded(lost, lost.count()), ["_k1", "_k2"], "left")
+    both = keyed.join(bounded(lost, rows + places // 4, BROADCAST_IDS // 2), ["_k1", "_k2"], "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lost", i)), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept)
+
+    def rest(p: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_lost")), lambda i: F.get(p, i)), "\n")
+
+    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(once(parts, rest))
     total = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     out = both.select(*[F.col(f"`{c}`") for c in names], text.alias(text_col), total.alias("lines_total"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("lines_dropped"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c in (*names, text_col)], "lines_total", "lines_dropped")

@@ -14,7 +14,8 @@ from corvane.llm import simhash
 from corvane.llm.common import join_hot
 from corvane.llm.components import components
 from corvane.llm.exact_dedup import exact_dedup
-from corvane.llm.line_dedup import Shape, _alike, line_dedup
+from corvane.llm.line_dedup import line_dedup
+from corvane.llm.set_join import alike
 from corvane.llm.queries import op10_simhash
 from corvane.llm.simhash import fingerprint, hamming_links, plan, simhash_dedup
 
@@ -129,10 +130,6 @@ def test_query_op10(spark, sf_dir):
     assert got == {d: (f"{p:016x}", root[d]) for d, p in prints.items()}
 
 
-def slow_shingles(line, k=12):
-    return {line[i : i + k] for i in range(len(line)) if not line[i].isspace() and (i == 0 or line[i - 1].isspace() or ord(line[i]) >= 0xE00 or ord(line[i - 1]) >= 0xE00)}
-
-
 def test_lines(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(400)]
@@ -146,28 +143,22 @@ def test_lines(spark):
             if rng.random() < 0.5 and len(x) > 25:
                 x[int(rng.integers(0, len(x)))] = "changed"
             own.append("  " * int(rng.integers(0, 2)) + " ".join(x))
-        docs.append((d, "\n".join([*own, "short line", line(30)])))
-    got = line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 32}
-    sets = {x: slow_shingles(x) for x in set(places.values())}
-    alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    root, first = closure(sets, alike), {}
-    for p in sorted(places):
-        first.setdefault(root[places[p]], p)
-    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in places or first[root[places[d, i]]] == (d, i)) for d, t in docs}
-    assert len(alike) > 20
-    same = sum(want[r.doc_id] == r.text for r in got)
-    assert same >= 0.97 * len(docs)  # banding finds nearly all
-    for r in got:  # what it dropped, brute force drops too
-        assert all(x in r.text.split("\n") for x in want[r.doc_id].split("\n"))
+        docs.append((d, "\n".join([*own, "short", "short line " + words[d % 7], line(30)])))
+    pairs = []
+    want = deduped(docs, lambda x: pairs.extend(alike_pairs(x)) or pairs)
+    assert len(pairs) > 20
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(want[d] == t for d, t in got.items()) >= 0.98 * len(docs)  # of the banding
+    for d, t in got.items():  # what it dropped, brute force drops too
+        assert all(x in t.split("\n") for x in want[d].split("\n"))
 
 
 def test_lines_edges(spark):
     same = "this very same line stands in several documents of the table"
-    rows = [(1, None), (2, ""), (3, same), (None, same + "\nx"), (4, f"a\n{same}  \n\nb\n{same}"), (4, f"a\n{same}  \n\nb\n{same}"), (5, "你" * 40), (6, "你" * 40 + "\n" + "好" * 3)]
+    rows = [(1, None), (2, ""), (7, "Subscribe to our newsletter"), (8, "}\n Subscribe to our newsletter\n}"), (9, "}\nsha256:" + "0" * 15 + "1" * 49), (10, "sha256:" + "0" * 15 + "2" * 49), (3, same), (None, same + "\nx"), (4, f"a\n{same}  \n\nb\n{same}"), (4, f"a\n{same}  \n\nb\n{same}"), (5, "你" * 40), (6, "你" * 40 + "\n" + "好" * 3)]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, lines_dropped int, _other string")
     got = {r.doc_id: r.text for r in line_dedup(df).collect()}
-    assert got == {1: None, 2: "", 3: same, None: "x", 4: "a\n\nb", 5: "你" * 40, 6: "好" * 3}
+    assert got == {1: None, 2: "", 3: same, None: "x", 4: "a\n\nb", 5: "你" * 40, 6: "好" * 3, 7: "Subscribe to our newsletter", 8: "}\n}", 9: "}\nsha256:" + "0" * 15 + "1" * 49, 10: "sha256:" + "0" * 15 + "2" * 49}
     assert line_dedup(df).columns == ["doc_id", "text", "_other", "lines_total", "lines_dropped"]
     assert line_dedup(df).count() == len(rows) and line_dedup(df.limit(0)).count() == 0
 
@@ -179,7 +170,7 @@ def test_lines_crowded_bucket(spark):
     line = lambda: common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20))
     rows = [line() for _ in range(300)]
     rows += [r + " tail" for r in rows[:60]]
-    got = line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shape=Shape()).collect()
+    got = line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     empty = {r.doc_id for r in got if r.text == ""}
     assert empty <= set(range(300, 360)) and len(empty) >= 57
 
@@ -190,7 +181,7 @@ def test_alike_counts_ties(spark):
     rows = [(i, list(range(n)), list(range(n - k, n - k + m)), k * 5 >= 4 * (n + m - k)) for i, (n, m, k) in enumerate(shapes)]
     df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, want boolean")
     assert df.where("want").count() > 50
-    assert df.where(_alike(F.col("a"), F.col("b"), 0.8) != F.col("want")).count() == 0
+    assert df.where(alike(F.col("a"), F.col("b"), 0.8) != F.col("want")).count() == 0
 
 
 def all_shingles(line, k=12):
@@ -198,8 +189,8 @@ def all_shingles(line, k=12):
 
 
 def deduped(docs, alike):
-    """Texts after brute force over all pairs of lines of 32 characters or more."""
-    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 32}
+    """Texts after brute force over all pairs of lines of a shingle's length or more."""
+    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 12}
     root, first = closure(set(places.values()), alike(sorted(set(places.values())))), {}
     for p in sorted(places):
         first.setdefault(root[places[p]], p)
@@ -211,8 +202,7 @@ def alike_pairs(lines):
     return [(a, b) for (a, s), (b, t) in itertools.combinations(zip(lines, sets), 2) if len(s & t) >= 0.8 * len(s | t)]
 
 
-@pytest.mark.parametrize("every", [True, False])
-def test_lines_of_one_long_word(spark, every):
+def test_lines_of_one_long_word(spark):
     """Long words are compared whole, wherever they differ and in all scripts."""
     rng = np.random.default_rng(6)
     word = lambda n: "".join(rng.choice(list("abcdefghij/._-é你"), n))
@@ -222,20 +212,48 @@ def test_lines_of_one_long_word(spark, every):
         rows += [x, x + "tail", "http://" + x[8:], x[:20] + word(len(x) - 20)]
     docs = list(enumerate(rows))
     want = deduped(docs, alike_pairs)
-    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shape=Shape(every=every)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(got[i] for i in range(4)) and sum(not t for t in want.values()) >= 60
     assert all(got[d] for d, t in want.items() if t)  # nothing extra is dropped
-    assert sum(got[d] == t for d, t in want.items()) >= 0.97 * len(docs)
+    assert sum(got[d] == t for d, t in want.items()) >= 0.98 * len(docs)
 
 
-@pytest.mark.parametrize("every", [True, False])
-def test_lines_crowd_of_thousands(spark, every):
+def test_lines_crowd_of_thousands(spark):
     """Edited pairs among thousands of lines with one template are found as brute force finds them."""
     rng = np.random.default_rng(12)
     template = " ".join(f"common{i}" for i in range(33))
     line = lambda: template + " " + " ".join(f"w{x}" for x in rng.integers(10**5, 10**6, 6))
     rows = [line() for _ in range(4000)]
     edited = [r[: r.rindex(" w")] + f" edited{i}" for i, r in enumerate(rows[:600])]
-    got = line_dedup(spark.createDataFrame(list(enumerate(rows + edited)), "doc_id long, text string"), shape=Shape(every=every)).collect()
+    got = line_dedup(spark.createDataFrame(list(enumerate(rows + edited)), "doc_id long, text string")).collect()
     empty = {r.doc_id for r in got if not r.text}
     assert empty <= set(range(4000, 4600)) and len(empty) >= 594  # of the banding, 0.99
+
+
+def test_lines_of_one_name(spark, monkeypatch):
+    """Different lines of one 64-bit hash are never taken for copies."""
+    from corvane.llm import line_dedup as module
+
+    rows = [(i, f"line number {i} of the collection stands alone {i * i}") for i in range(40)] + [(100 + i, "a line of two documents that is long enough") for i in range(2)]
+    plain = module._lines
+    monkeypatch.setattr(module, "_lines", lambda *a: plain(*a).withColumn("_c", F.pmod(F.col("_c"), F.lit(5)).cast("long")))
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows[:40])
+
+
+def test_lines_recall(spark):
+    """Pairs around the least similarity: what brute force joins is joined in 98 of 100 cases at least."""
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    rows, want = [], []
+    for i in range(1500):
+        x = word(int(rng.integers(60, 300)))
+        at = int(rng.integers(0, len(x)))
+        y = x[:at] + word(int(rng.integers(1, 8))) + x[at:]
+        rows += [x.strip(), y.strip()]
+        a, b = all_shingles(rows[-2]), all_shingles(rows[-1])
+        want.append(len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = [not got[2 * i + 1] for i in range(1500)]
+    assert not any(f and not w for f, w in zip(found, want)) and sum(want) > 700
+    assert sum(f for f, w in zip(found, want) if w) >= 0.98 * sum(want)
