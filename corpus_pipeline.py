@@ -30,22 +30,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines. A document that had text and has lost all of it goes."""
-    kept = line_dedup.line_dedup(docs, shape=line_dedup.Shape(every=True)).where((F.col("lines_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    kept = line_dedup.line_dedup(docs).where((F.col("lines_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return _as_documents(kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies; of rows that repeat it, one."""
-    told = common.materialize(simhash.simhash_dedup(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")))
-    gone = told.where("NOT stays").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(common.bounded(gone, gone.count(), common.BROADCAST_IDS), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
-    twice = common.materialize(told.where("stays").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
-    if not (n := twice.count()):
-        return kept
-    # Only rows whose id repeats meet; no other text is shuffled.
-    same = lambda: kept["doc_id"].eqNullSafe(few["_twice"])
-    few = common.bounded(twice, n, common.BROADCAST_IDS)
-    return kept.join(few, same(), "left_anti").unionByName(kept.join(few, same(), "left_semi").dropDuplicates(["doc_id"]))
+    """Keep the document with the least id of each group of near copies: five-word shingles, Jaccard
+    similarity of 0.8 or more. Rows go by id and text, so of rows that share an id only near copies
+    go; of rows that repeat both, one stays."""
+    keys = ["_k1", "_k2"]
+    told = common.materialize(simhash.near_copies(docs, words=5, jaccard=0.8))
+    gone = told.where("NOT stays").select(*keys).distinct()
+    keyed = docs.select(*COLUMNS, *common.row_key(docs))
+    kept = keyed.join(common.bounded(gone, gone.count(), common.BROADCAST_IDS // 2), keys, "left_anti")
+    twice = common.materialize(told.where("stays").groupBy(*keys).count().where("count > 1").select(*keys))
+    if n := twice.count():
+        # Only rows that repeat meet; no other text is shuffled.
+        few = common.bounded(twice, n, common.BROADCAST_IDS // 2)
+        kept = kept.join(few, keys, "left_anti").unionByName(kept.join(few, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +69,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = common.materialize(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = list(common.stored(spark))
+        docs = common.materialize(stage(spark, docs, sf_dir))
+        # What the stage stored on its way and the input it has read are done with.
+        common.discard(spark, [p for p in common.stored(spark) if p not in before and p != docs._corvane_path])
+    return STAGES[-1][1](spark, docs, sf_dir)
