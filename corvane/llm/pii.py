@@ -18,6 +18,8 @@ from corvane.llm.common import bounded, materialize, once, row_key, running
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+#: Slices of the documents over which terms are counted, in parts of the last number.
+SLICES = (1, 4, 16, 64)
 _A, _B, _C = "\u0001", "\u0002", "\u0003"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -121,13 +123,24 @@ def _disclosing(own: DataFrame, slim: DataFrame, limits: Limits) -> DataFrame |
     rows = meets.groupBy("_r").agg(F.max("n_e").alias("n_e")).select("_r", bound.alias("most"))
     near = materialize(some.join(rows, "_r").select("_r", "most", F.explode(_words(F.col("_text"))).alias("t")).where("t <> ''"))
     terms = near.groupBy("t").agg(F.count("*").alias("m"), F.max("most").alias("most")).where((F.col("m") >= limits.support) & (F.col("m") <= F.col("most")))
-    terms = materialize(terms.select("t", "most"))
-    few = bounded(terms, terms.count())
-    words = own.select("_k1", "_k2", F.explode(_words(F.col("_text"))).alias("t"))
-    stands = materialize(words.join(few.select("t"), "t", "left_semi"))
-    n_t = stands.groupBy("t").agg(F.count("*").alias("n_t")).join(few, "t").where(F.col("n_t") <= F.col("most")).select("t", "n_t")
-    n_t = materialize(n_t)
-    pairs = near.select("_r", "t").join(bounded(n_t, n_t.count()), "t").join(meets, "_r").groupBy("e", "t").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    terms = materialize(terms.select("t", "most", F.lit(0).cast("long").alias("n_t")))
+    if not (left := terms.count()):
+        return None
+    # n_t is counted over growing slices of the documents. A count over some is a lower bound, so
+    # frequent words go early, and what is left never stands much more often than the bound.
+    stands = None
+    for lo, hi in zip((0, *SLICES), SLICES):
+        part = own.where(F.pmod("_k1", F.lit(SLICES[-1])).between(lo, hi - 1))
+        words = part.select("_k1", "_k2", F.explode(_words(F.col("_text"))).alias("t"))
+        found = materialize(words.join(bounded(terms.select("t"), left), "t", "left_semi"))
+        stands = found if stands is None else stands.unionByName(found)
+        more = found.groupBy("t").agg(F.count("*").alias("more"))
+        terms = terms.join(more, "t", "left").select("t", "most", (F.col("n_t") + F.coalesce("more", F.lit(0))).alias("n_t")).where(F.col("n_t") <= F.col("most"))
+        terms = materialize(terms)
+        if not (left := terms.count()):
+            return None
+    n_t = terms.select("t", "n_t")
+    pairs = near.select("_r", "t").join(bounded(n_t, left), "t").join(meets, "_r").groupBy("e", "t").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     content, mutual = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     share = F.when(content > 0, mutual / content).otherwise(0.0)
     told = pairs.where(F.col("n_te") >= limits.support).select("t", share.alias("share")).where(F.col("share") >= limits.generalise)
