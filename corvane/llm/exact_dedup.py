@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded, join_hot, materialize
+from corvane.llm.common import BROADCAST_ROWS, join_hot, materialize
 
 #: ASCII white space runs that compare equal to one space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -20,11 +20,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept`` (and ``text_sha256`` with ``digest``).
 
     Texts are equal when their normalised forms are identical. Of equal texts the row with
-    the least id stays (nulls last). A scan counts (length, prefix hash) pairs, combined
-    before the shuffle; lengths that occur once are dropped, then prefixes that occur once.
-    Only rows of the pairs left are hashed in full, in a second scan: no text is shuffled,
-    and the pairs are broadcast only when counted to be few. If they are many, each row is
-    hashed in full, with the same result. Rows of a text with very many copies are not shuffled. ``digest`` asks for the hash of every row.
+    the least id stays (nulls last). A scan counts pairs of length and prefix hash, combined
+    before the shuffle; rows whose pair occurs once are done. Only the others' texts are hashed
+    in full, and only their hashes are grouped. The pairs are broadcast where they are counted
+    to be few; else rows meet them by a shuffle, hot pairs apart, with the same result. ``digest``
+    asks for the hash of every row, which the second scan then makes at once, so that no text is
+    shuffled. Rows of a text with very many copies are not shuffled.
 
     Null text counts as empty; all empty texts form one group. Of rows that repeat both id
     and text exactly one is kept. An empty table gives an empty table; other columns are
@@ -34,18 +35,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("_id"), norm.alias("_t"))
     size, head = F.length("_t"), F.xxhash64(F.substring("_t", 1, prefix))
     pairs = materialize(base.select(size.alias("_n"), head.alias("_p")).groupBy("_n", "_p").agg(F.count("*").alias("_c")))
-    by_length = pairs.groupBy("_n").agg(F.sum("_c").alias("_m")).where("_m > 1").select("_n")
-    left = pairs.where("_c > 1").join(by_length, "_n", "left_semi").select("_n", "_p")
-    few = bounded(left, n := left.count())
-
-    rows = base.select("_id", "_t", size.alias("_n"), head.alias("_p"))
+    left = pairs.where("_c > 1").select("_n", "_p", F.lit(True).alias("_hit"))
     full = F.sha2("_t", 256)
-    if few is not left:
-        hit = few.withColumn("_hit", F.lit(True))
-        rows = rows.join(hit, ["_n", "_p"], "left").withColumn("_h", F.when(F.col("_hit"), full))
+    told = F.unhex(full).alias("_f") if digest else F.col("_t")
+    rows = base.select("_id", size.alias("_n"), head.alias("_p"), told, F.monotonically_increasing_id().alias("_r"))
+    if left.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(left), ["_n", "_p"], "left")
     else:
-        rows = rows.withColumn("_h", full if n else F.lit(None).cast("string"))
-    rows = rows.select("_id", "_n", "_p", F.when(F.col("_h").isNotNull(), F.unhex(F.col("_h"))).alias("_h"), F.monotonically_increasing_id().alias("_r"), *([full.alias("text_sha256")] if digest else []))
+        rows = join_hot(materialize(rows) if digest else rows, pairs.withColumn("_hit", F.col("_c") > 1), ["_n", "_p"], "_c", pairs.agg(F.sum("_c")).first()[0])
+    hashed = F.when(F.col("_hit"), F.col("_f") if digest else F.unhex(full)).alias("_h")
+    rows = rows.select("_id", hashed, "_r", *([F.lower(F.hex("_f")).alias("text_sha256")] if digest else []))
     rows = materialize(rows)
     # The hash's four words group in place of the binary so that counting stays in the hash aggregate.
     words = [F.conv(F.hex(F.substring("_h", 1 + 8 * i, 8)), 16, -10).cast("long").alias(f"_w{i}") for i in range(4)]

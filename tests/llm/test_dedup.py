@@ -10,14 +10,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
-from corvane.llm.common import join_hot
+from corvane.llm import crowds, simhash
+from corvane.llm.common import join_hot, row_key
 from corvane.llm.components import components
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.set_join import alike
 from corvane.llm.queries import op10_simhash
-from corvane.llm.simhash import fingerprint, hamming_links, plan, simhash_dedup
+from corvane.llm.simhash import fingerprint, hamming_links, near_copies, plan, simhash_dedup
 
 
 def closure(nodes, links):
@@ -39,7 +39,7 @@ EDGES = [(5, "a b"), (3, "a\t \nb"), (3, "a\t \nb"), (None, "a b"), (1, None), (
 
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_exact(spark, monkeypatch, bound):
-    monkeypatch.setattr("corvane.llm.common.BROADCAST_ROWS", bound)
+    monkeypatch.setattr("corvane.llm.exact_dedup.BROADCAST_ROWS", bound)
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in EDGES], "doc_id long, text string, kept string, group_size int")
     groups = defaultdict(list)
     for i, t in EDGES:
@@ -48,7 +48,9 @@ def test_exact(spark, monkeypatch, bound):
     got = exact_dedup(df, digest=True).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
-    assert exact_dedup(df).columns == ["doc_id", "keep_id", "group_size", "kept"]
+    plain = exact_dedup(df)
+    assert plain.columns == ["doc_id", "keep_id", "group_size", "kept"]
+    assert sorted(map(str, plain.collect())) == sorted(str(r) for r in exact_dedup(df, digest=True).select(plain.columns).collect())
     assert exact_dedup(df.limit(0)).count() == 0
 
 
@@ -257,3 +259,83 @@ def test_lines_recall(spark):
     found = [not got[2 * i + 1] for i in range(1500)]
     assert not any(f and not w for f, w in zip(found, want)) and sum(want) > 700
     assert sum(f for f, w in zip(found, want) if w) >= 0.98 * sum(want)
+
+
+def near_sets(text, k=5):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_copies(spark):
+    """Groups are those of brute force over all pairs; of equal ids and texts one row is meant."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 7)))
+    rows, i = [], 0
+    for _ in range(150):
+        base = [word() for _ in range(int(rng.integers(40, 200)))]
+        for _ in range(int(rng.integers(1, 5))):
+            own = list(base)
+            for _ in range(int(rng.integers(0, max(2, len(base) // 25)))):
+                own[int(rng.integers(0, len(own)))] = word()
+            rows.append((i, " ".join(own)))
+            i += 1
+    template = [word() for _ in range(60)]  # a family whose members are not all like its centre
+    rows += [(2000 + k, " ".join(template[: 60 - k] + [word() for _ in range(k)])) for k in range(40)]
+    rows += [(5, "Alpha beta"), (5, "gamma"), (3, "alpha  BETA"), (3000, None), (3001, ""), (None, "eps zeta"), (3002, "eps zeta"), (9, "one")]
+    rows += [rows[-1], rows[0]]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, w0 int").repartition(5)
+    keys = {(r._k1, r._k2): (r.doc_id, r.text) for r in df.select("doc_id", "text", *row_key(df)).collect()}
+    stays = {keys[r._k1, r._k2]: r.stays for r in near_copies(df).collect()}
+    nodes = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets = [near_sets(t) for _, t in nodes]
+    links = [(a, b) for a, b in itertools.combinations(range(len(nodes)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = closure(range(len(nodes)), links)
+    assert len(links) > 150 and set(stays) == set(nodes)
+    groups = len(set(root.values()))
+    assert groups <= sum(stays.values()) <= groups + 0.03 * len(links)  # missed with the recall of the plan
+    assert all(stays[nodes[k]] for k, r in root.items() if list(root.values()).count(r) == 1)
+    least = {}
+    for k in sorted(root, key=lambda k: (nodes[k][0] is None, nodes[k][0] or 0)):
+        least.setdefault(root[k], nodes[k][0])
+    assert sum(stays[nodes[k]] and nodes[k][0] == least[r] for k, r in root.items()) >= groups
+    assert near_copies(df.limit(0)).count() == 0 and near_copies(df.limit(1)).count() == 1
+
+
+def test_wide_plan_recall():
+    """Pairs that differ in a bit with the given probability meet in a partition in 98 of 100 cases."""
+    rng = np.random.default_rng(3)
+    sample = rng.integers(0, 2**63, (3000, simhash.LANES)).astype(np.uint64)
+    for n in (1000, 10**5, 10**7):
+        parts = simhash.wide_plan(sample, n, 0.1514)
+        flips = rng.random((4000, 64 * simhash.LANES)) < 0.1514
+        met = np.zeros(4000, bool)
+        for g, t in parts:
+            met |= flips[:, g].sum(axis=1) <= t
+        assert met.mean() >= 0.97 and len({b for g, _ in parts for b in g}) == sum(len(g) for g, _ in parts)
+
+
+def test_crowds():
+    """Shared counts and forests of random sets equal brute force."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 60)))) for _ in range(80)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    assert crowds.shared_counts(sets).tolist() == want
+    like = crowds.alike_matrix(sets, 0.6)
+    pairs = [(a, b) for a, b in itertools.combinations(range(80), 2) if want[a][b] >= 0.6 * len(set(sets[a].tolist()) | set(sets[b].tolist()))]
+    assert [(a, b) for a, b in itertools.combinations(range(80), 2) if like[a, b]] == pairs
+    assert closure(range(80), crowds.forest(like)) == closure(range(80), pairs)
+
+
+def test_crowd_links(spark, monkeypatch):
+    """A crowd cut into many parts gives the components of brute force."""
+    monkeypatch.setattr(crowds, "PART", 7)
+    rng = np.random.default_rng(5)
+    sets = {i: sorted(set(rng.integers(0, 40, 14).tolist())) for i in range(120)}
+    like = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b]))
+    joined = {i for i in sets if i == 0 or like(i, 0)}
+    members = spark.createDataFrame([(k, i, i in joined) for k in (1, 2) for i in sets], "key long, c long, joined boolean")
+    content = spark.createDataFrame(list(sets.items()), "_c long, x array<long>")
+    got = [(r.u, r.v) for r in crowds.crowd_links(members, content, lambda rows: [np.array(x, np.int64) for x in rows], 0.5).collect()]
+    assert all(like(a, b) for a, b in got)
+    star = [(i, 0) for i in joined]
+    assert closure(sets, got + star) == closure(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if like(a, b)])
