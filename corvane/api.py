@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +17,7 @@ from corvane.operators import change_plan, index, lookup, rules
 from corvane.operators.prompt import file_block, prompt
 from corvane.sources import files as source
 from corvane.sources import sinks
+from corvane.streaming import run_log
 
 
 class Engine:
@@ -51,7 +56,7 @@ class Engine:
         return source.scan(self.spark, self.project(project_id)).select("path")
 
     def file(self, project_id: str, path: str) -> str:
-        text = source.read_file(source.scan(self.spark, self.project(project_id), self.settings.max_file_chars), path)
+        text = source.read_file(source.scan(self.spark, self.project(project_id), self.settings.max_file_chars, only=path), path)
         if text is None:
             raise NotFound(path)
         return text
@@ -71,8 +76,6 @@ class Engine:
         return self._index(p).select(F.concat_ws("#", "path", F.col("chunk_index").cast("string")).alias("chunk_id"))
 
     def _index(self, p: Project) -> DataFrame | None:
-        import os
-
         part = f"{self.home}/index/project_id={p.id}"
         return self.spark.read.parquet(part) if os.path.isdir(part) else None
 
@@ -89,28 +92,50 @@ class Engine:
 
     # plans
 
-    def plan(self, project_id: str, story: str | dict) -> dict:
-        """Make a plan for a story (its id, or its fields) and hold it for review."""
-        p = self.project(project_id)
+    def plan(self, project_id: str, story: str | dict, run_id: str = "") -> dict:
+        """Make a plan for a story (its id, or its fields; without an id it gets one) and hold it for
+        review. With a run id the steps are told in the run's log, whose end is always written."""
+        tell = run_log.RunLog(self._runs(run_id), run_id) if run_id else lambda msg: None
+        try:
+            return self._plan(self.project(project_id), {"id": f"adhoc-{int(time.time())}"} | story if isinstance(story, dict) else story, tell)
+        finally:
+            tell(None)
+
+    def _runs(self, run_id: str) -> str:
+        if not re.fullmatch(r"[\w-]+", run_id):
+            raise NotFound(f"No such run: {run_id}")
+        return f"{self.home}/runs/{run_id}"
+
+    def run_log(self, run_id: str) -> DataFrame:
+        """The frames of a run so far, in the order of ``seq``: two opening ones, a message each, the end."""
+        path = self._runs(run_id)
+        if not os.path.isdir(path):
+            raise NotFound(f"No such run: {run_id}")
+        return run_log.frames(run_log.read_log(self.spark, path, stream=False), opening=True)
+
+    def _plan(self, p: Project, story: str | dict, tell: Callable[[str | None], None]) -> dict:
+        tell("Looking for the story and the project's index")
         stories = self.stories(p.id) if isinstance(story, str) else self.spark.createDataFrame([{"priority": "Medium", "acceptanceCriteria": []} | story], STORY)
         hit = lookup.find_by_id(stories.where("id <> ''").withColumn("pos", F.monotonically_increasing_id()), story if isinstance(story, str) else story["id"])
         row = hit.first()
         if row is None:
             raise NotFound(f"Story not found: {story}")
         text = story_text(*[F.lit(row[c]).cast("string") for c in ("id", "title", "description")], F.lit(list(row.acceptanceCriteria or [])) if row.acceptanceCriteria else F.array().cast("array<string>"), F.lit(row.priority).cast("string"))
-        report = self.analysis(p.id).first().report
-        files = source.scan(self.spark, p)
+        checked = self.analysis(p.id).first()
+        report = checked.report
+        tell(f"Rules: {checked.n_findings} findings")
+        files, shown = source.scan(self.spark, p), source.scan(self.spark, p, self.settings.max_file_chars)
         ranked = self.search(p.id, f"{row.title}\n{row.description}", self.settings.max_context_files).select("path", "rank")
-        blocks = lookup.load_context(ranked, files).agg(F.array_sort(F.collect_list(F.struct("rank", file_block(F.col("path"), F.col("content")).alias("b")))).alias("b"))
+        blocks = lookup.load_context(ranked, shown).agg(F.array_sort(F.collect_list(F.struct("rank", file_block(F.col("path"), F.col("content")).alias("b")))).alias("b"))
         head = {"id": F.lit(p.id), "name": F.lit(p.name), "repoRoot": F.lit(p.repo_root)}
         asked = blocks.select(prompt(head, F.lit(p.extensions()), text, F.lit(report), F.transform("b", lambda x: x["b"]), self.hint).alias("p")).first().p
+        tell(f"Asking for a plan: {len(asked)} characters")
         reply = change_plan.extract_json(self.generate(asked))
-        import json
-
         plan = self.spark.createDataFrame([(json.dumps(reply), row.id)], "j string, s string").select(change_plan.plan_from_json(F.col("j"), F.col("s")).alias("p")).select("p.*").first().asDict(recursive=True)
         rows = [(i, f["path"], f["operation"], f["content"]) for i, f in enumerate(plan["files"])]
         diff = self._diff(files, rows)
         self.pending[p.id.lower()] = (rows, diff)
+        tell(f"{len(rows)} files, {diff.count(chr(10))} lines of difference: waiting for review")
         return plan | {"diff": diff, "pending_review": True}
 
     def _rows(self, rows: list[tuple]) -> DataFrame:
@@ -134,5 +159,3 @@ class Engine:
 
     def reject(self, project_id: str) -> None:
         self.pending.pop(self.project(project_id).id.lower(), None)
-
-

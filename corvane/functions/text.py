@@ -19,6 +19,11 @@ CLOUD_KEY = "AKIA[0-9A-Z]{16}"
 TOKEN = "(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{32,}"
 
 
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once: a column named twice would be computed twice."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def limit(text: Column, n: int) -> Column:
     """The first ``n`` code points and a mark if there are more; null as empty."""
     t = F.coalesce(text, F.lit(""))

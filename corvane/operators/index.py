@@ -42,6 +42,18 @@ class HashingEmbedder:
         return out
 
 
+class LetterEmbedder:
+    """A stand-in without meaning that any engine can compute: shares of the letters a to z."""
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [float(t.count(chr(97 + i))) for i in range(26)]
+            size = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append([x / size for x in v])
+        return out
+
+
 def chunk_files(files: DataFrame, size: int = 1800) -> DataFrame:
     """(path, chunk_index, text)"""
     return files.select("path", F.explode(chunks(F.col("content"), size)).alias("c")).select("path", "c.chunk_index", "c.text")
@@ -66,9 +78,14 @@ def build(files: DataFrame, embedder: Embedder, redacted: bool = True) -> DataFr
     return embed(rows, embedding_text(F.col("path"), F.col("chunk_index"), F.col("text")), embedder, redacted)
 
 
+def store_all(index: DataFrame, root: str) -> None:
+    """Replace the parts of all projects that ``index`` names in ``project_id``."""
+    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(root)
+
+
 def store(index: DataFrame, root: str, project_id: str) -> None:
     """Replace one project's part of the index; other projects' parts stay."""
-    index.withColumn("project_id", F.lit(project_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(root)
+    store_all(index.withColumn("project_id", F.lit(project_id)), root)
 
 
 def search(index: DataFrame, query: Sequence[float], k: int) -> DataFrame:

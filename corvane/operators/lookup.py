@@ -17,9 +17,9 @@ def find_by_id(rows: DataFrame, target: str | None, active: str | None = None, i
 
 def merge_registry(config: DataFrame, persisted: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
     """Config rows, then persisted ones whose id is new, case-sensitively; the first of each id."""
-    both = config.withColumn("_o", F.lit(0)).unionByName(persisted.join(config.select(id_col), id_col, "left_anti").withColumn("_o", F.lit(1)))
+    new = persisted.join(config.select(id_col), id_col, "left_anti")
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(pos_col))
-    return both.withColumn("_r", rank).where("_o = 0 OR _r = 1").drop("_o", "_r")
+    return config.unionByName(new.withColumn("_r", rank).where("_r = 1").drop("_r"))
 
 
 def operations_summary(operation: Column) -> Column:
@@ -32,5 +32,7 @@ def load_context(ranked: DataFrame, files: DataFrame) -> DataFrame:
     return ranked.join(files, "path").select("rank", "path", "content")
 
 
-def context_totals(context: DataFrame) -> DataFrame:
-    return context.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("n_chars"))
+def context_totals(ranked: DataFrame, files: DataFrame) -> DataFrame:
+    """Number and characters of the ranked files; lengths are taken before the join, so no text moves."""
+    sizes = ranked.join(files.select("path", F.length("content").alias("n")), "path")
+    return sizes.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_chars"))

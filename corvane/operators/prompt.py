@@ -27,5 +27,10 @@ def prompt(project: dict[str, Column], extensions: Column, story: Column, analys
     """``blocks``: array of file blocks in rank order. ``hint`` follows the cap, as a reply format must survive it."""
     top = [F.lit(HEAD), *[F.concat(F.lit(f"- {k}: "), v) for k, v in project.items()], F.concat(F.lit("- allowedWriteExtensions: "), python_list(extensions))]
     parts = F.concat(F.array(*top, F.lit(""), F.lit("USER_STORY:"), story, F.lit(""), F.lit("STATIC_ANALYSIS:"), limit(redact(analysis), 8000), F.lit(""), F.lit(CONTEXT)), blocks)
-    whole = limit(F.array_join(parts, "\n"), 64000)
+    return capped(F.array_join(parts, "\n"), hint)
+
+
+def capped(whole: Column, hint: str = "") -> Column:
+    """A prompt under its cap, with the hint after it."""
+    whole = limit(whole, 64000)
     return F.concat(whole, F.lit(hint)) if hint else whole

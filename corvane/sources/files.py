@@ -29,12 +29,19 @@ class _Reader(DataSourceReader):
         self.rejects = options.get("rejects", "false") == "true"
         split = lambda name: [x for x in options.get(name, "").split(",") if x]
         self.extensions, self.excluded = set(split("extensions")), set(split("excluded"))
+        self.only = options.get("only")
 
     def partitions(self) -> list[_Paths]:
         """List on the driver; excluded directories are never entered, other kinds never opened."""
         found = []
         for folder, inner, names in os.walk(self.root):
             inner[:] = [d for d in inner if d not in self.excluded]
+            if self.only is not None:  # one file: only the folders on its way
+                rel = os.path.relpath(folder, self.root).replace(os.sep, "/")
+                way = self.only.split("/")
+                depth = 0 if rel == "." else rel.count("/") + 1
+                inner[:] = [d for d in inner if depth < len(way) - 1 and d == way[depth]]
+                names = [n for n in names if depth == len(way) - 1 and n == way[-1]]
             found += [os.path.join(folder, n) for n in names if Path(n).suffix.lower().lstrip(".") in self.extensions]
         found.sort()
         return [_Paths(found[i : i + PATHS_PER_TASK]) for i in range(0, len(found), PATHS_PER_TASK)] or [_Paths([])]
@@ -70,12 +77,14 @@ class ProjectFiles(DataSource):
         return _Reader(dict(self.options))
 
 
-def scan(spark: SparkSession, project: Project, max_chars: int | None = None, rejects: bool = False) -> DataFrame:
-    """A project's files, cut to ``max_chars`` if given. A missing root fails here and now."""
+def scan(spark: SparkSession, project: Project, max_chars: int | None = None, rejects: bool = False, only: str | None = None) -> DataFrame:
+    """A project's files, cut to ``max_chars`` if given, or the file at the path ``only``. A missing
+    root fails here and now."""
     if not os.path.isdir(project.repo_root):
         raise NotFound(f"No such directory: {project.repo_root}")
     spark.dataSource.register(ProjectFiles)
     read = spark.read.format("project_files").option("root", project.repo_root).option("project_id", project.id)
+    read = read if only is None else read.option("only", only)
     rows = read.option("extensions", ",".join(x.lstrip(".").lower() for x in Project("").extensions())).option("excluded", ",".join(project.excluded())).option("rejects", str(rejects).lower()).load()
     return rows if rejects or max_chars is None else rows.withColumn("content", limit(F.col("content"), max_chars))
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.model import RUN_LOG
+
 IDLE_SECONDS = 300
 OPENING = (": stream-open\n\n", 'data: {"msg": "Agent initializing…"}\n\n')
 DONE = "event: done\ndata: {}\n\n"
@@ -16,13 +22,37 @@ def frame(msg: Column) -> Column:
     return F.when(msg.isNull(), F.lit(DONE)).otherwise(F.concat(F.lit('data: {"msg": "'), F.replace(F.replace(F.replace(msg, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"}\n\n')))
 
 
-def frames(log: DataFrame) -> DataFrame:
+def frames(log: DataFrame, opening: bool = False) -> DataFrame:
     """(run_id, seq, frame, ends): a run ends at a null message, or where the next one is more than
-    ``IDLE_SECONDS`` of event time away or missing."""
+    ``IDLE_SECONDS`` of event time away or missing. With ``opening`` a reader's two first frames
+    stand before a run's first message, at the numbers below its own."""
     order = Window.partitionBy("run_id").orderBy("seq")
     gap = F.unix_micros(F.lead("ts").over(order).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     ends = F.col("msg").isNull() | F.coalesce(gap > IDLE_SECONDS * 1_000_000, F.lit(True))
-    return log.select("run_id", "seq", frame(F.col("msg")).alias("frame"), ends.alias("ends"))
+    told = log.select("run_id", "seq", frame(F.col("msg")).alias("frame"), ends.alias("ends"), F.lag("seq").over(order).isNull().alias("_first"))
+    if not opening:
+        return told.drop("_first")
+    row = lambda seq, text, end: F.struct(seq.cast("long").alias("seq"), text.alias("frame"), end.alias("ends"))
+    own = row(F.col("seq"), F.col("frame"), F.col("ends"))
+    before = [row(F.col("seq") - (len(OPENING) - i), F.lit(x), F.lit(False)) for i, x in enumerate(OPENING)]
+    return told.select("run_id", F.explode(F.when(F.col("_first"), F.array(*before, own)).otherwise(F.array(own))).alias("f")).select("run_id", "f.*")
+
+
+class RunLog:
+    """Writes one run's messages as JSON rows below ``root``, one file a message, so that batch and
+    streaming readers see whole rows only."""
+
+    def __init__(self, root: str, run_id: str) -> None:
+        self.root, self.run_id, self.seq = Path(root), run_id, 0
+
+    def __call__(self, msg: str | None) -> None:
+        """Append a message; None ends the run."""
+        self.root.mkdir(parents=True, exist_ok=True)
+        row = {"run_id": self.run_id, "seq": self.seq, "msg": msg, "ts": datetime.now(timezone.utc).isoformat()}
+        part = self.root / f".{self.run_id}-{self.seq}.part"
+        part.write_text(json.dumps(row), encoding="utf-8")
+        part.rename(self.root / f"{self.run_id}-{self.seq:06d}.json")
+        self.seq += 1
 
 
 def sessions(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -30,8 +60,8 @@ def sessions(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return log.withWatermark("ts", lateness).groupBy("run_id", F.session_window("ts", f"{IDLE_SECONDS} seconds").alias("w")).agg(F.count("msg").alias("n_msgs")).select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_msgs")
 
 
-def read_log(spark, path: str) -> DataFrame:
-    return spark.readStream.schema("run_id string, seq bigint, msg string, ts timestamp").json(path)
+def read_log(spark, path: str, stream: bool = True) -> DataFrame:
+    return (spark.readStream if stream else spark.read).schema(RUN_LOG).json(path)
 
 
 def progress(deltas: DataFrame, key: str = "run_id", seq: str = "seq", text: str = "delta", first: int = 300, step: int = 600) -> DataFrame:

@@ -67,6 +67,8 @@ def test_scan(spark, tree):
     assert got == {"src/A.JAVA": "class A {}\n// TODO\n", ".hidden.md": "hi", "deep/.k/d.md": "deep", "_u.yml": "k: v"}
     assert [r.path for r in source.scan(spark, p, rejects=True).collect()] == ["gone.md"]
     assert source.read_file(source.scan(spark, p), ".git/x.md") is None
+    assert [r.path for r in source.scan(spark, p, only="deep/.k/d.md").collect()] == ["deep/.k/d.md"]
+    assert source.scan(spark, p, only=".git/x.md").count() == source.scan(spark, p, only="../app/b.md").count() == source.scan(spark, p, only="").count() == 0
     with pytest.raises(NotFound):
         source.scan(spark, Project("x", repo_root="/no/such"))
 
@@ -80,14 +82,26 @@ def test_engine(spark, tree, tmp_path):
         asked.append(prompt)
         return 'ok {"summary": "s", "files": [{"path": "new/n.md", "operation": "create", "content": "hello\\n"}, {"path": "_u.yml", "operation": "delete"}], "notes": ["'
 
-    settings = Settings(projects=(Project("App", "app", str(tree), str(stories)),), max_context_files=2)
+    (tree / "long.md").write_text("deep " * 3000)
+    settings = Settings(projects=(Project("App", "app", str(tree), str(stories)),), max_context_files=5, max_file_chars=300)
     e = Engine(spark, settings, str(tmp_path / "home"), index.HashingEmbedder(16), reply, "\n\nhint")
     assert e.project("aPP").id == "App" and e.project().id == "App" and e.projects().count() == 1
     assert e.stories("app").first().priority == "Medium" and e.file("app", "_u.yml") == "k: v"
-    assert {r.chunk_id for r in e.rebuild_index("app").collect()} == {"src/A.JAVA#0", ".hidden.md#0", "deep/.k/d.md#0", "_u.yml#0"}
+    assert {r.chunk_id for r in e.rebuild_index("app").collect()} == {"src/A.JAVA#0", ".hidden.md#0", "deep/.k/d.md#0", "_u.yml#0", "long.md#0"}
     assert [r.rank for r in e.search("app", "deep", 0).collect()] == [1]
+    plan = e.plan("app", "s-1", "run-1")
+    told = e.run_log("run-1").orderBy("seq").collect()
+    assert [r.frame for r in told[:2]] == list(run_log.OPENING) and told[-1].frame == run_log.DONE and told[-1].ends and len(told) > 5
+    assert e.plan("app", {"title": "Only a title"})["storyId"].startswith("adhoc-")
+    with pytest.raises(NotFound):
+        e.plan("app", "no such story", "run-2")
+    assert e.run_log("run-2").orderBy("seq").collect()[-1].ends
+    for bad in ("none", "../x"):
+        with pytest.raises(NotFound):
+            e.run_log(bad)
     plan = e.plan("app", "s-1")
     assert asked[0].startswith("ROLE:") and asked[0].endswith("\n\nhint") and "acceptanceCriteria: ['x']" in asked[0] and "contains TODO" in asked[0]
+    assert "deep " * 60 + "\n...[TRUNCATED]" in asked[0] and "deep " * 61 not in asked[0]  # context is capped as the index is
     assert plan["storyId"] == "S-1" and "+hello" in plan["diff"] and "-k: v" in plan["diff"] and plan["notes"] == [""]
     assert e.accept("APP")["touched"] == ["new/n.md", "_u.yml"] and (tree / "new/n.md").read_text() == "hello\n" and not (tree / "_u.yml").exists()
     with pytest.raises(NotFound):
