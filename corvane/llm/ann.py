@@ -190,7 +190,7 @@ def _hash(index: Index, query: bool):
                 if not query:
                     norm = np.linalg.norm(x, axis=1)
                     span, unit, least = index.range_of(norm), x / norm[:, None], pa.array(np.zeros(len(x)))
-                    for t in range(index.rot.tables):
+                    for t in range(1 if index.whole else index.rot.tables):
                         first, second = index.rot.own(unit, t)
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(second.astype(np.int32)))
                         yield pa.RecordBatch.from_arrays([pa.array(part(t, span, first)), pa.array(np.zeros(len(x), bool)), b.column("c"), code, scale, least, lists], names=names)
@@ -272,6 +272,8 @@ def _ranked(index: Index, base: DataFrame, asked: DataFrame, keep: int) -> DataF
     with more than a block of vectors or queries are cut by hash, and the pieces meet pairwise."""
     small_batches(base.sparkSession)
     rows = base.mapInArrow(_hash(index, False), _ROWS).unionByName(asked.mapInArrow(_hash(index, True), _ROWS))
+    # Stored, so that counting the groups doesn't hash twice; the repeated vectors are stored once a file.
+    rows = materialize(rows)
     sizes = rows.groupBy("part").agg(F.count_if(~F.col("query")).alias("n"), F.count_if("query").alias("m"))
     pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
     large = materialize(sizes.where((F.col("n") > BLOCK) | (F.col("m") > BLOCK)).select("part", pieces("n").alias("nx"), pieces("m").alias("nq")))
