@@ -31,7 +31,7 @@ class Limits:
     class, or removed."""
 
     support: int = 3
-    generalise: float = 0.95
+    generalise: float = 0.98
     remove: float = 0.999
 
 

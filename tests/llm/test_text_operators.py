@@ -82,7 +82,7 @@ def test_base_spans(spark):
         assert [(s.kind, s.start, s.end) for s in r.base] == slow_base(texts[r.doc_id]), texts[r.doc_id][:200]
 
 
-def plain_terms(rows, support=3, share=0.95):
+def plain_terms(rows, support=3, share=0.98):
     """Disclosing terms by brute force: counts over all rows of whole texts."""
     words = lambda t: {w for w in re.split(r"[^\w]|_", (t or "").lower()) if w}
     sets = [words(t) for _, t in rows]
