@@ -68,10 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = set(common.stored(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        before = list(common.stored(spark))
+    for _, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir))
-        # What the stage stored on its way and the input it has read are done with.
+        # What the stage stored on its way, and the input it has read, are done with.
         common.discard(spark, [p for p in common.stored(spark) if p not in before and p != docs._corvane_path])
     return STAGES[-1][1](spark, docs, sf_dir)
