@@ -15,6 +15,7 @@ from corvane.llm.html_extract import extract_main_text
 from corvane.llm.langid import fit, held_out, identify
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.packing import pack_documents
+from corvane.llm.pieces import piece_decode, piece_encode
 from corvane.llm.pii import KINDS, find_pii
 from corvane.llm.simhash import simhash_dedup
 
@@ -91,6 +92,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents"), words=3, radius=3, seed=42)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, packed_col="packed", keep=["doc_id"])
+    both = piece_decode(coded, path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -102,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
