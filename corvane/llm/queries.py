@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.html_extract import extract_main_text
 from corvane.llm.langid import fit, held_out, identify
 from corvane.llm.line_dedup import line_dedup
+from corvane.llm import merkle
+from corvane.llm.negatives import mine_negatives
 from corvane.llm.packing import pack_documents
 from corvane.llm.pieces import piece_decode, piece_encode
 from corvane.llm.pii import KINDS, find_pii
@@ -92,6 +95,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents"), words=3, radius=3, seed=42)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lower)).alias("seen"))
+    told = merkle.merkle_manifest(leaves).withColumn("folded_root", merkle.fold(F.coalesce("seen", "leaf"), F.col("path")))
+    proof = merkle.digest(F.array_join(merkle.siblings(F.col("path")), ""))
+    return told.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "op11_negatives": op11_negatives,
+    "op12_merkle": op12_merkle,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -137,4 +159,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
        sum(chars + CASE WHEN before IS NULL THEN role_chars + 7 WHEN before = role THEN 5 ELSE role_chars + 14 END)::BIGINT + 7 AS formatted_chars
 FROM seen GROUP BY conv_id""",
+    "op11_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, r.label = a.label AS same, list_dot_product(a.x, r.x)::BIGINT AS score
+  FROM rows a, rows r WHERE a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+near AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+hard AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM near p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 5""",
+    "op12_merkle": merkle.oracle(),
 }
