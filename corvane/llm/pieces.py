@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -18,13 +19,15 @@ from pyspark.sql import types as T
 from corvane.llm.common import map_text, small_batches
 
 SPACE = "▁"
-#: Words and pairs of tokens that a process keeps; either table starts anew when it is full.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 500_000
+#: Words after which a process starts a new table of them, with the one before still at hand, and
+#: pairs of tokens after which it forgets all.
+CACHE_WORDS, CACHE_PAIRS = 250_000, 1_000_000
 #: Longer words are encoded each time they occur.
 CACHE_CHARS = 64
 #: Characters of a text whose words are held at once.
 SEGMENT = 1_000_000
 _NONE = 1 << 31
+_MARK = b"\xff" * 4
 
 
 class Pieces:
@@ -62,8 +65,9 @@ class Pieces:
         # No merge reaches from a word over the space that follows it, unless a piece does.
         self.word = None if any(SPACE in x.lstrip(SPACE) for x in self.id) else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.border = re.compile(f"(?<!{SPACE}){SPACE}")
-        self.words: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
         def shown(i: int, p) -> bytes:
             if p.type == kind.CONTROL:
@@ -105,37 +109,38 @@ class Pieces:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether two tokens can stand side by side: merging their characters anew gives them back."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get((a << 32) + b)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             x, y = self._shown(a), self._shown(b)
-            known = self.pairs[a, b] = self.merge(x + y) == [x, y]
+            known = self.pairs[(a << 32) + b] = self.merge(x + y) == [x, y]
         return known
 
     def longest(self, text: str, at: int) -> int:
         """The longest token that starts at a place, by the automaton's own tree."""
-        n = self.find.longest_prefix(text[at : at + self.width])
-        while n > 1 and text[at : at + n] not in self.id:
-            n -= 1
-        return self.id.get(text[at : at + n], -1 - ord(text[at])) if n else -1 - ord(text[at])
+        part, get = text[at : at + self.width], self.id.get
+        for n in range(self.find.longest_prefix(part), 0, -1):
+            if (token := get(part[:n])) is not None:
+                return token
+        return -1 - ord(part[0])
 
     def _walk(self, text: str) -> list[int]:
         """Tokens of a text, by the longest token at each place. A place from which no way leads on
         is marked as failed, once, and the walk goes back by one token and tries a shorter one: a
         sequence in which all neighbours fit is what merging gives, and there is only one."""
+        longest, sizes, shorter, known, fits = self.longest, self.length, self.shorter, self.pairs.get, self.fits
         out: list[int] = []
-        failed, at, n, token = bytearray(len(text) // 8 + 1), 0, len(text), self.longest(text, 0)
-        sizes, shorter, pairs, last = self.length, self.shorter, self.pairs, None
+        failed, at, n, token, last = bytearray(len(text) // 8 + 1), 0, len(text), longest(text, 0), None
         while at < n:
             end = at + (sizes[token] if token >= 0 else 1)
             if not failed[end >> 3] >> (end & 7) & 1:
-                fit = last is None or pairs.get((last, token))
-                if fit or fit is None and self.fits(last, token):
+                fit = last is None or known((last << 32) + token)
+                if fit or fit is None and fits(last, token):
                     out.append(token)
                     at, last = end, token
                     if at < n:
-                        token = self.longest(text, at)
+                        token = longest(text, at)
                     continue
             less = shorter.get(token)
             if less is None:
@@ -150,8 +155,8 @@ class Pieces:
     def _ids(self, tokens: list[int]) -> list[int]:
         return [i for t in tokens for i in ((t,) if t >= 0 else [self.byte[b] for b in chr(-1 - t).encode()])]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words. The longest matches one after another are tried first, for all words
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, four bytes each. The longest matches one after another are tried first, for all words
         in one pass: where all neighbours fit, they are the answer. The other words are walked."""
         joined = self.apart.join(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -163,13 +168,15 @@ class Pieces:
         pair = np.flatnonzero(owner[1:] == owner[:-1])
         left, right = token[pair], token[pair + 1]
         key, back = np.unique(left << 32 | right, return_inverse=True)
-        fits = np.fromiter((self.fits(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()), bool, len(key))
-        good[owner[pair[~fits[back]]]] = False
-        flat, first = token.tolist(), np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        out = [flat[a:b] for a, b in zip(first, first[1:])]
-        rest = np.flatnonzero(~good).tolist()
-        for i in rest:
-            out[i] = self._ids(self._walk(words[i]))
+        known = list(map(self.pairs.get, key.tolist()))
+        for i, (k, fit) in enumerate(zip(key.tolist(), known)):
+            if fit is None:
+                known[i] = self.fits(k >> 32, k & 0xFFFFFFFF)
+        good[owner[pair[~np.array(known, bool)[back]]]] = False
+        raw, first = token.astype(np.uint32).tobytes(), (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
+        out = [raw[a:b] for a, b in zip(first, first[1:])]
+        for i in np.flatnonzero(~good).tolist():
+            out[i] = array("I", self._ids(self._walk(words[i]))).tobytes()
         return out
 
     def _segments(self, text: str):
@@ -188,12 +195,18 @@ class Pieces:
             words = list(chain.from_iterable(held))
             held.clear()
             if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            known = self.words
-            known[""] = [-1]
-            if new := [w for w in set(words) if w not in known]:
-                known.update(zip(new, self.encode_words(new)))
-            flat.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
+                self.older, self.words = self.words, {}
+            known, older = self.words, self.older
+            known[""] = _MARK
+            new = []
+            for w in set(words):
+                if w not in known:
+                    if w in older:
+                        known[w] = older[w]
+                    else:
+                        new.append(w)
+            known.update(zip(new, self.encode_words(new)))
+            flat.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
             for w in new:
                 if len(w) > CACHE_CHARS:
                     del known[w]
@@ -209,11 +222,11 @@ class Pieces:
             held.append([""])  # stands between texts; no word is empty
         put()
         ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        ends = np.flatnonzero(ids == -1)
+        ends = np.flatnonzero(ids == -1)  # the marks
         count = np.diff(np.r_[-1, ends]) + 1
-        # A mark becomes an end id, and a begin id goes before each text.
-        ids[ends] = self.end
-        return np.insert(ids, np.r_[0, ends + 1][: len(ends)], self.begin), count.astype(np.int64)
+        ids = np.insert(ids, np.r_[0, ends + 1][: len(ends)], self.begin)
+        ids[np.cumsum(count) - 1] = self.end
+        return ids, count.astype(np.int64)
 
     def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
         """Texts of runs of ids. Control ids say nothing; the first piece of a text loses its space."""

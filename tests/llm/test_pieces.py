@@ -58,7 +58,7 @@ def test_neighbours_that_do_not_fit(own):
     for _ in range(500):
         word = "▁" + "".join(rng.choice("aeinrst") for _ in range(12))
         merged = own.merge(word)
-        assert [own.text[i] for i in own.encode_words([word])[0]] == merged
+        assert [own.text[i] for i in np.frombuffer(own.encode_words([word])[0], np.uint32)] == merged
         at, longest = 0, []
         while at < len(word):
             longest.append(own.text[own.longest(word, at)])
