@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -21,7 +20,8 @@ from corvane.operators.prompt import CONTEXT, HEAD, capped, file_block, prompt
 from corvane.sources import files as source
 from corvane.sources import sinks
 from corvane.sources.files import not_blank
-from corvane.streaming import run_log
+from corvane.session import scratch
+from corvane.streaming import live, run_log
 
 MAX_FILE_CHARS, MAX_CONTEXT_FILES = 6000, 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,8 +350,12 @@ _LOG = "SELECT user_id::VARCHAR AS run_id, event_id AS seq, CASE WHEN event_type
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
+    return _log_rows(_read(spark, d, "events"))
+
+
+def _log_rows(events: DataFrame) -> DataFrame:
     msg = F.when(F.col("event_type") != "purchase", F.concat("event_type", F.lit(' "'), F.col("props"), F.lit('"')))
-    return _read(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), msg.alias("msg"), "ts")
+    return events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), msg.alias("msg"), "ts")
 
 
 @_query(f"""SELECT run_id, seq, CASE WHEN msg IS NULL THEN 'event: done' || chr(10) || 'data: {{}}' || chr(10, 10) ELSE 'data: {{"msg": "' || replace(msg, '"', chr(92) || '"') || '"}}' || chr(10) || chr(10) END AS frame,
@@ -387,6 +391,47 @@ def run_log_stream(spark: SparkSession, d: str) -> DataFrame:
     return run_log.frames(_log(spark, d), opening=True)
 
 
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table's files as a stream; all that are there make one micro-batch."""
+    return spark.readStream.schema(_read(spark, d, table).schema).parquet(f"{d}/{table}.parquet*")
+
+
+_ENDED = "(msg IS NULL OR coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts) > 300000000, epoch_ms(ts) + 300000 < epoch_ms((SELECT max(ts) FROM events))))"
+
+
+@_query(f"""WITH l AS (SELECT *, row_number() OVER w AS k, {_ENDED} AS ended FROM ({_LOG}) WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+s AS (SELECT *, coalesce(bool_or(ended) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM l),
+f AS (SELECT * FROM s WHERE NOT over), done AS (SELECT 'event: done' || chr(10) || 'data: {{}}' || chr(10) || chr(10) AS frame)
+SELECT run_id, k + 1 AS n, CASE WHEN msg IS NULL THEN done.frame ELSE 'data: {{"msg": "' || replace(msg, '"', chr(92) || '"') || '"}}' || chr(10) || chr(10) END AS frame FROM f, done
+UNION ALL SELECT run_id, k + 2, done.frame FROM f, done WHERE ended AND msg IS NOT NULL
+UNION ALL SELECT DISTINCT run_id, 0, ': stream-open' || chr(10) || chr(10) FROM f
+UNION ALL SELECT DISTINCT run_id, 1, 'data: {{"msg": "Agent initializing…"}}' || chr(10) || chr(10) FROM f""")
+def run_log_live(spark: SparkSession, d: str) -> DataFrame:
+    """The log as a stream with state and timers, on the messages' own clock: each run's reader gets
+    the opening, the messages up to the first sentinel or silence, and one end."""
+    home = scratch(spark)
+    log = _log_rows(_stream(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    live.drain(live.follow(log, clock="event"), f"{home}/frames", f"{home}/checkpoint")
+    return spark.read.schema(live.FRAMES).parquet(f"{home}/frames")
+
+
+@_query("""WITH e AS (SELECT *, event_type = 'purchase' AS stop, CASE WHEN event_type = 'purchase' THEN 0 ELSE length(props) END AS own FROM events),
+r AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+c AS (SELECT *, sum(own) OVER (PARTITION BY user_id, part ORDER BY event_id) AS n FROM r)
+SELECT user_id::VARCHAR AS run_id, event_id AS seq, n::BIGINT AS n_chars, CASE WHEN NOT stop THEN 'report' WHEN event_id % 2 = 0 THEN 'limit' ELSE 'complete' END AS kind,
+  CASE WHEN NOT stop THEN 'Receiving response… ' || format('{:,}', n::BIGINT) || ' chars' WHEN event_id % 2 = 0 THEN 'Token limit reached (' || format('{:,}', n::BIGINT) || ' chars) — repairing response…'
+       ELSE 'Generation complete — ' || format('{:,}', n::BIGINT) || ' chars received, parsing JSON…' END AS msg
+FROM c WHERE stop OR own > 0 AND n >= 300 AND (n - own < 300 OR floor((n - 300) / 600) > floor((n - own - 300) / 600))""")
+def token_progress_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Progress of many responses a run; a purchase stands for a response's stop."""
+    home, stop = scratch(spark), F.col("event_type") == "purchase"
+    reason = F.when(stop, F.when(F.col("event_id") % 2 == 0, "max_tokens").otherwise("end_turn"))
+    deltas = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.when(~stop, F.col("props")).alias("delta"), reason.alias("stop"))
+    told = live.progress_stream(deltas)
+    live.drain(told, f"{home}/progress", f"{home}/checkpoint")
+    return spark.read.schema(told.schema).parquet(f"{home}/progress")
+
+
 _ASKED = "the of and"
 _LETTERS = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace({0}, chr(c::INT), '')))::DOUBLE)"
 _SENT = _redact("'FILE: ' || path || chr(10) || 'CHUNK: ' || chunk_index || chr(10) || text")
@@ -404,9 +449,11 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir`` where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.removeprefix('file://')}/corvane-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="corvane-")
+    """A fresh folder that driver and executors share and that Python opens as local files."""
+    path = scratch(spark)
+    if re.match(r"[a-z0-9]+:(?!/+[^/])|(?!file:)[a-z0-9]+://", path):
+        raise RuntimeError(f"project files need a folder of the local file system, not {path}")
+    return re.sub(r"^file:/+", "/", path)
 
 
 @_query("""SELECT doc_id || '.txt' AS path, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM documents

@@ -19,7 +19,8 @@ DONE = "event: done\ndata: {}\n\n"
 
 def frame(msg: Column) -> Column:
     """A message as one event-stream frame."""
-    return F.when(msg.isNull(), F.lit(DONE)).otherwise(F.concat(F.lit('data: {"msg": "'), F.replace(F.replace(F.replace(msg, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"}\n\n')))
+    quoted = F.to_json(F.struct(msg.alias("msg")))  # {"msg":"..."}, every control character escaped
+    return F.when(msg.isNull(), F.lit(DONE)).otherwise(F.concat(F.lit('data: {"msg": '), F.substring(quoted, len('{"msg":') + 1, F.length(quoted)), F.lit("\n\n")))
 
 
 def frames(log: DataFrame, opening: bool = False) -> DataFrame:
