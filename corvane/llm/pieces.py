@@ -125,13 +125,14 @@ class Pieces:
                 return token
         return -1 - ord(part[0])
 
-    def _walk(self, text: str) -> list[int]:
-        """Tokens of a text, by the longest token at each place. A place from which no way leads on
+    def _walk(self, text: str, begun: tuple[int, ...] | list[int] = ()) -> list[int]:
+        """Tokens of a text, after the longest matches ``begun`` that fit so far, by the longest token at each place. A place from which no way leads on
         is marked as failed, once, and the walk goes back by one token and tries a shorter one: a
         sequence in which all neighbours fit is what merging gives, and there is only one."""
         longest, sizes, shorter, known, fits = self.longest, self.length, self.shorter, self.pairs.get, self.fits
-        out: list[int] = []
-        failed, at, n, token, last = bytearray(len(text) // 8 + 1), 0, len(text), longest(text, 0), None
+        out, failed, n = list(begun), bytearray(len(text) // 8 + 1), len(text)
+        at = sum(map(sizes.__getitem__, out))
+        token, last = longest(text, at), out[-1] if out else None
         while at < n:
             end = at + (sizes[token] if token >= 0 else 1)
             if not failed[end >> 3] >> (end & 7) & 1:
@@ -144,6 +145,8 @@ class Pieces:
                     continue
             less = shorter.get(token)
             if less is None:
+                if not out and begun:
+                    return self._walk(text)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()  # its end is marked, so a shorter one comes next
                 at -= sizes[token] if token >= 0 else 1
@@ -172,11 +175,16 @@ class Pieces:
         for i, (k, fit) in enumerate(zip(key.tolist(), known)):
             if fit is None:
                 known[i] = self.fits(k >> 32, k & 0xFFFFFFFF)
-        good[owner[pair[~np.array(known, bool)[back]]]] = False
-        raw, first = token.astype(np.uint32).tobytes(), (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist()
-        out = [raw[a:b] for a, b in zip(first, first[1:])]
+        misfit = pair[~np.array(known, bool)[back]]
+        whole, reach = good.copy(), np.searchsorted(owner, np.arange(len(words) + 1))
+        good[owner[misfit]] = False
+        bad, at = np.unique(owner[misfit], return_index=True)
+        fit = dict(zip(bad.tolist(), (misfit[at] + 1).tolist()))  # up to where all neighbours fit
+        raw, first, flat = token.astype(np.uint32).tobytes(), reach.tolist(), token.tolist()
+        out = [raw[4 * a : 4 * b] for a, b in zip(first, first[1:])]
         for i in np.flatnonzero(~good).tolist():
-            out[i] = array("I", self._ids(self._walk(words[i]))).tobytes()
+            begun = flat[first[i] : fit[i]] if whole[i] else ()
+            out[i] = array("I", self._ids(self._walk(words[i], begun))).tobytes()
         return out
 
     def _segments(self, text: str):
