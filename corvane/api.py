@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import story_text
-from corvane.model import STORY, NotFound, Project, Settings
+from corvane.model import RUN_LOG, STORY, NotFound, Project, Settings
 from corvane.operators import change_plan, index, lookup, rules
 from corvane.operators.prompt import file_block, prompt
 from corvane.sources import files as source
 from corvane.sources import sinks
-from corvane.streaming import run_log
+from corvane.sources.store import HeldPlans, Snapshots
+from corvane.streaming import live, run_log
 
 
 class Engine:
@@ -26,7 +27,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, settings: Settings, home: str, embedder: index.Embedder, generate: Callable[[str], str], hint: str = "") -> None:
         self.spark, self.settings, self.home, self.embedder, self.generate, self.hint = spark, settings, home, embedder, generate, hint
-        self.pending: dict[str, tuple[list[tuple], str]] = {}
+        self.pending = HeldPlans(spark, f"{home}/plans")
+        self.snapshots = Snapshots(spark, f"{home}/index")
         known = {p.id for p in settings.projects}
         stored = [Project(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.asDict().items() if v is not None}) for r in source.read_registry(spark, f"{home}/registry.json").collect()]
         self._projects = list(settings.projects)
@@ -70,14 +72,18 @@ class Engine:
     # index
 
     def rebuild_index(self, project_id: str) -> DataFrame:
-        """Store the project's index anew; its chunk ids."""
+        """Store the project's index anew; its chunk ids. Texts that were embedded before are not sent
+        again; whoever searches meanwhile has the index before."""
         p = self.project(project_id)
-        index.store(index.build(source.scan(self.spark, p, self.settings.max_file_chars), self.embedder), f"{self.home}/index", p.id)
+        built = index.build(source.scan(self.spark, p, self.settings.max_file_chars), self.embedder, vectors=f"{self.home}/vectors")
+        self.snapshots.publish(p.id, built)
         return self._index(p).select(F.concat_ws("#", "path", F.col("chunk_index").cast("string")).alias("chunk_id"))
 
+    def index_exists(self, project_id: str) -> bool:
+        return self.snapshots.exists(self.project(project_id).id)
+
     def _index(self, p: Project) -> DataFrame | None:
-        part = f"{self.home}/index/project_id={p.id}"
-        return self.spark.read.parquet(part) if os.path.isdir(part) else None
+        return self.snapshots.open(p.id)
 
     def search(self, project_id: str, text: str, k: int) -> DataFrame:
         p = self.project(project_id)
@@ -113,6 +119,12 @@ class Engine:
             raise NotFound(f"No such run: {run_id}")
         return run_log.frames(run_log.read_log(self.spark, path, stream=False), opening=True)
 
+    def follow(self) -> DataFrame:
+        """A streaming DataFrame (run_id, n, frame) of all runs as they are told: two opening frames, a
+        frame a message, one end at the run's own or after silence."""
+        os.makedirs(f"{self.home}/runs", exist_ok=True)
+        return live.follow(self.spark.readStream.schema(RUN_LOG).option("recursiveFileLookup", True).json(f"{self.home}/runs"))
+
     def _plan(self, p: Project, story: str | dict, tell: Callable[[str | None], None]) -> dict:
         tell("Looking for the story and the project's index")
         stories = self.stories(p.id) if isinstance(story, str) else self.spark.createDataFrame([{"priority": "Medium", "acceptanceCriteria": []} | story], STORY)
@@ -134,7 +146,7 @@ class Engine:
         plan = self.spark.createDataFrame([(json.dumps(reply), row.id)], "j string, s string").select(change_plan.plan_from_json(F.col("j"), F.col("s")).alias("p")).select("p.*").first().asDict(recursive=True)
         rows = [(i, f["path"], f["operation"], f["content"]) for i, f in enumerate(plan["files"])]
         diff = self._diff(files, rows)
-        self.pending[p.id.lower()] = (rows, diff)
+        self.pending.hold(p.id, rows, diff)
         tell(f"{len(rows)} files, {diff.count(chr(10))} lines of difference: waiting for review")
         return plan | {"diff": diff, "pending_review": True}
 
@@ -148,14 +160,20 @@ class Engine:
         return "".join(r.d for r in both.select("pos", change_plan.diff("path", "old", "new").alias("d")).orderBy("pos").collect())
 
     def accept(self, project_id: str) -> dict:
-        """Write the held plan. It stays held if it is refused."""
+        """Write the held plan. Of several engines that accept at once one gets it; if it is refused or
+        fails it stays held."""
         p = self.project(project_id)
-        if p.id.lower() not in self.pending:
+        taken = self.pending.claim(p.id)
+        if taken is None:
             raise NotFound(f"No pending plan: {project_id}")
-        rows, diff = self.pending[p.id.lower()]
-        touched = sinks.apply_plan(self._rows(rows), p)
-        del self.pending[p.id.lower()]
-        return {"touched": touched, "diff": diff}
+        number, state = taken
+        try:
+            touched = [r.path for r in sinks.apply_plan(self._rows([tuple(r) for r in state["rows"]]), p).orderBy("pos").collect()]
+        except BaseException:
+            self.pending.settle(p.id, number, state)
+            raise
+        self.pending.settle(p.id, number, {"state": "accepted"})
+        return {"touched": touched, "diff": state["diff"]}
 
     def reject(self, project_id: str) -> None:
-        self.pending.pop(self.project(project_id).id.lower(), None)
+        self.pending.reject(self.project(project_id).id)

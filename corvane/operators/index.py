@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import chunks, embedding_text, redact
 from corvane.functions.vector import cosine, norm
+from corvane.sources.store import exists
 
 INPUT_CHARS = 8000
 
@@ -72,10 +73,50 @@ def embed(rows: DataFrame, text: Column, embedder: Embedder, redacted: bool = Tr
     return sent.mapInPandas(run, f"{fields}, embedding array<double>").withColumn("norm", norm(F.col("embedding")))
 
 
-def build(files: DataFrame, embedder: Embedder, redacted: bool = True) -> DataFrame:
-    """Chunks with vectors and norms; order within the index is (path, chunk_index)."""
+def patient(embedder: Embedder, texts: list[str]) -> list[list[float]]:
+    """Vectors of texts; a text that the embedder fails on, alone, becomes an empty one."""
+    try:
+        return embedder(texts)
+    except Exception:
+        if len(texts) == 1:
+            return [[]]
+        half = len(texts) // 2
+        return patient(embedder, texts[:half]) + patient(embedder, texts[half:])
+
+
+def embed_new(rows: DataFrame, text: Column, embedder: Embedder, vectors: str, redacted: bool = True) -> DataFrame:
+    """As ``embed``, by way of a table of vectors by content below ``vectors``: of the distinct texts
+    only those without a vector there are sent, each once; then the table has them.
+
+    A text that fails becomes an empty vector and is sent again next time. The table of each embedder
+    is its own (``name``, else the class's name). Two rebuilds at once may both send a new text; its
+    vectors are equal and one is used.
+    """
+    spark = rows.sparkSession
+    table = f"{vectors.rstrip('/')}/{getattr(embedder, 'name', type(embedder).__name__)}"
+    sent = F.substring(redact(text) if redacted else text, 1, INPUT_CHARS)
+    keyed = rows.withColumn("_key", F.sha2(sent, 256)).withColumn("_sent", sent)
+    schema = "_key string, embedding array<double>"
+    known = lambda: spark.read.schema(schema).parquet(table) if exists(spark, table) else spark.createDataFrame([], schema)
+    new = keyed.select("_key", "_sent").dropDuplicates(["_key"]).join(known().select("_key"), "_key", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                yield pd.DataFrame({"_key": p["_key"], "embedding": patient(embedder, p["_sent"].tolist())})
+
+    new.mapInPandas(run, schema).where(F.size("embedding") > 0).write.mode("append").parquet(table)
+    once = known().dropDuplicates(["_key"])
+    none = F.array().cast("array<double>")
+    return keyed.drop("_sent").join(once, "_key", "left").withColumn("embedding", F.coalesce("embedding", none)).drop("_key").withColumn("norm", norm(F.col("embedding")))
+
+
+def build(files: DataFrame, embedder: Embedder, redacted: bool = True, vectors: str | None = None) -> DataFrame:
+    """Chunks with vectors and norms; order within the index is (path, chunk_index). ``vectors``: a
+    folder that keeps them by content."""
     rows = chunk_files(files)
-    return embed(rows, embedding_text(F.col("path"), F.col("chunk_index"), F.col("text")), embedder, redacted)
+    text = embedding_text(F.col("path"), F.col("chunk_index"), F.col("text"))
+    return embed_new(rows, text, embedder, vectors, redacted) if vectors else embed(rows, text, embedder, redacted)
 
 
 def store_all(index: DataFrame, root: str) -> None:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import NOT_WS, WS
 
-# Name, pattern, message.
+# Name, pattern, message. In ``swallowed`` each atomic group takes the first place of its
+# part, which is the best one for the parts after it, so one pass over the text decides.
 RULES = (
     ("todo", r"(?Ui)(?<![\p{L}\p{N}_])(TODO|FIXME|XXX)(?![\p{L}\p{N}_])", "contains TODO/FIXME markers"),
     ("print", rf"(?U)System\.out\.println|System\.err\.println|printStackTrace{WS}*\(", "contains console logging / stack traces"),
     ("secret", rf"(?Ui)(api[_-]?key|secret|token|password|passwd){WS}*[:=]{WS}*{NOT_WS}+", "possible secret-like literal"),
-    ("swallowed", rf"(?Us)catch{WS}*\(.*?Exception.*?\){WS}*\{{{WS}*\}}", "swallowed exception block detected"),
+    ("swallowed", rf"(?Us)\A(?>.*?catch{WS}*+\()(?>.*?Exception)(?>.*?\){WS}*+\{{{WS}*+\}})", "swallowed exception block detected"),
     ("null", rf"(?U)return{WS}+null{WS}*;", "returns null explicitly"),
 )
 CLEAN = "Static analysis OK: no basic hygiene issues found."

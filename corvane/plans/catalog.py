@@ -15,11 +15,12 @@ from pyspark.sql.window import Window
 from corvane.functions import text as t
 from corvane.functions.vector import cosine
 from corvane.model import EXTENSIONS, Project
-from corvane.operators import change_plan, index, lookup, rules
+from corvane.operators import cells, change_plan, index, lookup, rules
 from corvane.operators.prompt import CONTEXT, HEAD, capped, file_block, prompt
 from corvane.sources import files as source
 from corvane.sources import sinks
 from corvane.sources.files import not_blank
+from corvane.sources.store import Snapshots
 from corvane.session import scratch
 from corvane.streaming import live, run_log
 
@@ -484,14 +485,72 @@ def registry_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("pos", "id", "name", (F.col("pos") == hit).cast("int").alias("found"))
 
 
+@_query("""SELECT doc_id || '.txt' AS path, 'FileNotFoundError' AS reason FROM documents WHERE doc_id % 7 = 0""")
+def scan_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Files and links to nowhere, listed and read by tasks; the ones that can't be read, with the reason."""
+    root, i = _shared(spark), F.col("doc_id")
+    rows = _read(spark, d, "documents").where("doc_id IS NOT NULL").select(F.concat(i.cast("string"), F.lit(".txt")).alias("path"), F.lit("create").alias("operation"), F.lit("x").alias("content"), i.alias("pos"))
+    os.makedirs(root, exist_ok=True)
+    sinks.write_files(rows.where("pos % 7 <> 0"), root)
+
+    def link(parts):
+        for p in parts:
+            for name in p["path"]:
+                os.symlink("nowhere", f"{root}/{name}")
+            yield p.head(0)
+
+    rows.where("pos % 7 = 0").select("path").mapInPandas(link, "path string").count()
+    found = source.scan_all(spark, Project("p", repo_root=root))
+    return found.where("reason IS NOT NULL").select("path", "reason")
+
+
+@_query("SELECT doc_id || '.txt' AS path FROM documents WHERE doc_id % 5 <> 4")
+def project_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a file, some in an excluded folder; listed without opening one."""
+    root, i = _shared(spark), F.col("doc_id")
+    path = F.concat(F.when(i % 5 == 4, F.lit("target/")).otherwise(""), i.cast("string"), F.lit(".txt"))
+    os.makedirs(root, exist_ok=True)
+    sinks.write_files(_read(spark, d, "documents").where("doc_id IS NOT NULL").select(path.alias("path"), F.lit("create").alias("operation"), F.col("text").alias("content"), i.alias("pos")), root)
+    return source.listing(spark, Project("p", repo_root=root)).select("path")
+
+
+@_query("SELECT label::VARCHAR AS path, count(*) AS n_chunks, sum(vec_id)::BIGINT AS total FROM embeddings WHERE label IS NOT NULL AND vec_id % 2 = 1 GROUP BY label")
+def index_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """An index published twice: the manifest names the second snapshot, the first is still whole."""
+    store, rows = Snapshots(spark, f"{scratch(spark)}/index"), _read(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").cast("string").alias("path"), "vec_id")
+    store.publish("p/1", rows)
+    store.publish("p/1", rows.where("vec_id % 2 = 1"))
+    return store.open("p/1").groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum("vec_id").cast("long").alias("total"))
+
+
+@_query(f"SELECT path, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, path))::INT AS rank FROM (SELECT label::VARCHAR AS path, max({_COS}) AS score FROM embeddings WHERE label IS NOT NULL GROUP BY label) ORDER BY score DESC, path LIMIT {MAX_CONTEXT_FILES}")
+def search_in_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The index stored by cells, searched from the best bound on."""
+    root = f"{scratch(spark)}/cells"
+    rows = _read(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").cast("string").alias("path"), F.col("vec_id").cast("int").alias("chunk_index"), "embedding")
+    cells.store_cells(rows, root)
+    return cells.search_cells(spark, root, _query_vector(spark, d), MAX_CONTEXT_FILES).rows.withColumn("score", F.round("score", 6))
+
+
+@_query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations),
+s AS (SELECT conv_id, turn, substr({_redact('x')}, 1, 8000) AS x FROM t)
+SELECT conv_id, turn, round(coalesce(nullif(list_extract({_LETTERS.format('x')}, 5) / sqrt(list_dot_product({_LETTERS.format('x')}, {_LETTERS.format('x')})), 'nan'::DOUBLE), 0), 6) AS e FROM s""")
+def embed_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn's vector by way of the table of vectors by content, built twice: the second time all
+    texts are known."""
+    rows, home = _read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("x")), scratch(spark)
+    index.embed_new(rows, F.col("x"), index.LetterEmbedder(), home)
+    return index.embed_new(rows, F.col("x"), index.LetterEmbedder(), home).select("conv_id", "turn", F.round(F.get("embedding", F.lit(4)), 6).alias("e"))
+
+
 @_query("SELECT c_custkey::VARCHAR AS id, c_name AS title, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'Medium' END AS priority, 2::BIGINT AS n_criteria FROM customer")
 def stories_read(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON array of stories, some without a priority."""
-    home = _shared(spark)
-    os.makedirs(home, exist_ok=True)
-    rows = [{"id": str(r.c_custkey), "title": r.c_name, "acceptanceCriteria": ["a", "b"]} | ({} if r.c_nationkey % 2 else {"priority": r.c_mktsegment}) for r in _read(spark, d, "customer").collect()]
-    Path(home, "stories.json").write_text(json.dumps(rows), encoding="utf-8")
-    got = source.stories(spark, Project("p", stories_file=f"{home}/stories.json"))
+    """A folder of JSON arrays of stories, some without a priority."""
+    home, c = _shared(spark), _read(spark, d, "customer")
+    story = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.array(F.lit("a"), F.lit("b")).alias("acceptanceCriteria"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("priority"))
+    arrays = c.groupBy(F.floor(F.col("c_custkey") / 1000)).agg(F.to_json(F.collect_list(story)).alias("value")).select("value")
+    arrays.repartition(8).write.text(home)
+    got = source.stories(spark, Project("p", stories_file=home))
     return got.select("id", "title", "priority", F.size("acceptanceCriteria").cast("long").alias("n_criteria"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.model import Project, Refused
 from corvane.operators.change_plan import rejection, resolved
+from corvane.sources.files import ProjectFiles
 
 
 def save_registry(projects: list[Project], path: str) -> None:
@@ -31,35 +33,35 @@ def upload_path(path: Column) -> Column:
     return F.nullif(F.array_join(resolved(F.array_join(rest, "/")), "/"), F.lit(""))
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write or delete the files of (path, operation, content, pos) below ``root``, all or none: tasks
+    stage them, the job's end renames them. Of several rows for a path the last by ``pos`` counts."""
+    rows.sparkSession.dataSource.register(ProjectFiles)
+    last = rows.groupBy("path").agg(F.max_by(F.struct(F.lower("operation").alias("operation"), F.col("content")), "pos").alias("r")).select("path", "r.operation", "r.content")
+    try:
+        last.write.format("project_files").mode("append").option("root", root).save()
+    except Exception as e:
+        if m := re.search(r"Path traversal attempt blocked: [^\n]*", str(e)):
+            raise Refused(m[0]) from None
+        raise
+
+
 def upload(files: DataFrame, root: str, name: str) -> tuple[Project, int]:
-    """Write (path, content) rows below a new project's root; the project and how many were written.
-    Rows stream through the driver one at a time; an upload is one request's size."""
+    """Write (path, content) rows below a new project's root; the project and how many there were."""
     project = Project(id=f"upload-{uuid.uuid4().hex}", name=name, repo_root="")
-    base, written = Path(root).resolve() / project.id, 0
-    for r in files.select(upload_path(F.col("path")).alias("path"), "content").where("path IS NOT NULL").toLocalIterator():
-        dest = base / r.path
-        dest.parent.mkdir(parents=True, exist_ok=True)
-        dest.write_text(r.content or "", encoding="utf-8")
-        written += 1
+    base = Path(root).resolve() / project.id
     base.mkdir(parents=True, exist_ok=True)
-    return Project(**asdict(project) | {"repo_root": str(base), "allowed_write_extensions": project.allowed_write_extensions, "excluded_directories": project.excluded_directories}), written
+    rows = files.select(upload_path(F.col("path")).alias("path"), F.lit("create").alias("operation"), "content").where("path IS NOT NULL").withColumn("pos", F.monotonically_increasing_id())
+    write_files(rows, str(base))
+    return replace(project, repo_root=str(base)), rows.count()
 
 
-def apply_plan(files: DataFrame, project: Project) -> list[str]:
-    """Check all entries (pos, path, operation, content), then write or delete in order; the paths
+def apply_plan(files: DataFrame, project: Project) -> DataFrame:
+    """Check all entries (pos, path, operation, content), then write and delete; (pos, path) of those
     touched. Nothing is written if one entry is refused. A deletion's target may be missing."""
     why = rejection(F.col("path"), F.col("operation"), F.col("content"), project.extensions(), project.excluded())
-    rows = files.orderBy("pos").select("path", "operation", "content", why.alias("why"), F.array_join(resolved(F.col("path")), "/").alias("rel")).collect()
-    if bad := next((r.why for r in rows if r.why), None):
-        raise Refused(bad)
-    root = Path(project.repo_root).resolve()
-    for r in rows:
-        target = (root / r.rel).resolve()
-        if not target.is_relative_to(root):  # by way of a link
-            raise Refused(f"Path traversal attempt blocked: {r.path}")
-        if r.operation.lower() == "delete":
-            target.unlink(missing_ok=True)
-        else:
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(r.content, encoding="utf-8")
-    return [r.path for r in rows]
+    bad = files.select("pos", why.alias("why")).where("why IS NOT NULL").orderBy("pos").first()
+    if bad:
+        raise Refused(bad.why)
+    write_files(files.select(F.array_join(resolved(F.col("path")), "/").alias("path"), "operation", "content", "pos"), project.repo_root)
+    return files.select("pos", "path")
