@@ -49,24 +49,35 @@ def chunks(text: Column, size: int = 1800, least: int = 200) -> Column:
 
     A chunk ends at the last newline after ``least`` characters, else at ``size``. Blank
     chunks are left out but counted, so indexes may have gaps. A fold over a bounded sequence
-    keeps this one expression: no shuffle, no Python.
+    keeps this one expression: no shuffle, no Python. Each step looks at the next ``size``
+    characters of what is left, so time is in proportion to the text; what a step needs more
+    than once is bound, as a lambda's body is computed as often as it is named.
     """
-    n = F.length(text)
     none = F.array().cast("array<struct<chunk_index:int,text:string>>")
 
+    def cut(acc: Column, head: Column) -> Column:
+        """How many characters the next chunk has: the newest line feed in reach decides."""
+        found = F.instr(F.reverse(F.substring(head, least + 1, size - least)), "\n")
+        return once(found, lambda back: F.when(acc["left"] <= size, acc["left"]).when((back == 0) | (back >= size - least), F.lit(size)).otherwise(F.lit(size) - back))
+
     def step(acc: Column, _: Column) -> Column:
-        i = acc["i"]
-        back = F.instr(F.reverse(F.substring(text, i + (least + 1), F.lit(size - least))), "\n")
-        at = (size - least) - back
-        end = F.when(i + size >= n, n).when((back == 0) | (at <= 0), i + size).otherwise(i + least + at)
-        piece = ustrip(F.substring(text, i + 1, end - i))
-        row = F.array(F.struct(acc["c"].alias("chunk_index"), piece.alias("text")))
-        out = F.when(F.length(piece) > 0, F.concat(acc["out"], row)).otherwise(acc["out"])
-        after = F.struct(end.cast("int").alias("i"), (acc["c"] + 1).cast("int").alias("c"), out.alias("out"))
-        return F.when(i >= n, acc).otherwise(after)
-
-    steps = F.sequence(F.lit(0), F.floor(n / (least + 1)).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("i"), F.lit(0).alias("c"), none.alias("out")), step, lambda acc: acc["out"])
+        def put(head: Column, n: Column) -> Column:
+            def out(piece: Column) -> Column:
+                row = F.array(F.struct(acc["c"].alias("chunk_index"), piece.alias("text")))
+                return F.when(F.length(piece) > 0, F.concat(acc["out"], row)).otherwise(acc["out"])
+
+            rest = F.when(acc["left"] <= size, F.lit("")).otherwise(F.substring(acc["rest"], n + 1, acc["left"]))
+            return F.struct(rest.alias("rest"), (acc["left"] - n).cast("int").alias("left"), (acc["c"] + 1).cast("int").alias("c"), once(ustrip(F.substring(head, F.lit(1), n)), out).alias("out"))
+
+        after = once(F.substring(acc["rest"], 1, size), lambda head: once(cut(acc, head), lambda n: put(head, n)))
+        return F.when(acc["left"] <= 0, acc).otherwise(after)
+
+    def whole(t: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor(F.length(t) / (least + 1)).cast("int"))
+        start = F.struct(t.alias("rest"), F.length(t).alias("left"), F.lit(0).alias("c"), none.alias("out"))
+        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+    return once(text, lambda t: F.when(t.isNotNull(), whole(t)))
 
 
 def chunk_id(path: Column, index: Column) -> Column:
