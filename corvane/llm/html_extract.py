@@ -9,6 +9,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from corvane.llm.common import map_text, materialize, slices
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-#: Elements that never hold article text.
+#: Elements that hold no article text, unless they wrap it.
 ASIDE = frozenset("head nav footer aside form button select textarea noscript template iframe object svg canvas audio video map menu dialog datalist input".split())
 #: Words of class, id and role that name what is not the article, until labelled pages say otherwise.
 #: A name counts if all parts between hyphens are such words or ``PLAIN`` ones.
@@ -32,6 +33,10 @@ PLAIN = frozenset("area bar block bottom box container form item items left link
 #: Names that mark the article's own elements and wrappers.
 OWN_WORDS = frozenset("article body content entry main page post story text".split())
 LABELS = ("article", "main")
+#: Elements that are no part of a menu, form or the like around them.
+HELD = frozenset("article main h1".split())
+#: Elements that some pages put around everything: one with most of the page's words is a wrapper.
+WRAPS = frozenset("form object dialog menu noscript".split())
 
 _TOKEN = re.compile(r"""(<!--.*?(?:-->|\Z)|<(?:script|style|xmp)\b[^>]*>.*?(?:</(?:script|style|xmp)\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+[^>]*>)""", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -39,7 +44,7 @@ _MARKS = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 _SPACE = re.compile(r"\s+")
 
 #: Scores where no page is labelled: of words, of words in links and in elements with a mark, of tags.
-DEFAULT = {"word": 1.0, "linked": 0.1, "marked": -1.0, "tag": -0.5, "tag:hr": -0.5} | {f"tag:{t}": -0.05 for t in sorted(INLINE)} | {f"tag:{t}": -0.1 for t in sorted(BLOCK | VOID)} | {f"tag:{t}": -1.0 for t in ("div", "section", "table", "ul", "ol", "li", "td", "tr")}
+DEFAULT = {"word": 1.0, "title": 4.0, "linked": 0.1, "marked": -1.0, "tag": -0.5, "tag:hr": -0.5} | {f"tag:{t}": -0.05 for t in sorted(INLINE)} | {f"tag:{t}": -0.1 for t in sorted(BLOCK | VOID)} | {f"tag:{t}": -1.0 for t in ("div", "section", "table", "ul", "ol", "li", "td", "tr")}
 #: Scores on a page that labels its article: words inside, words outside, tags inside.
 LABELLED = (3.0, -1.0, -0.001)
 SMOOTH = 5.0
@@ -69,7 +74,7 @@ def _aside(name: str, words: frozenset) -> bool:
 class Page:
     """A page's tokens: ``kind`` (a tag's name, '' for text), ``text``, ``open`` (a start tag), ``close_at``."""
 
-    __slots__ = ("kind", "text", "open", "close_at", "_label")
+    __slots__ = ("kind", "text", "open", "close_at", "words", "held", "_label")
 
     def __init__(self, source: str) -> None:
         self.kind, self.text, self.open = [], [], []
@@ -91,6 +96,8 @@ class Page:
                 stacks.setdefault(name, []).append(at)
             elif not start and stacks.get(name):
                 self.close_at[stacks[name].pop()] = at
+        self.words = [0, *accumulate(0 if k else len(t.split()) for k, t in zip(self.kind, self.text))]
+        self.held = [i for i, k in enumerate(self.kind) if k in HELD and self.open[i]]
 
     def _add(self, kind: str, text: str, start: bool) -> None:
         self.kind.append(kind)
@@ -99,12 +106,26 @@ class Page:
 
     def cut(self, at: int, label: tuple[int, int] | None) -> int | None:
         """The last token of an element that by its name is no article text, else None. A header may
-        belong to the labelled article; a footer without an end reaches to the page's."""
+        belong to the labelled article, or by its names to any; a footer without an end reaches to
+        the page's. What holds an article or a title is a wrapper whatever its name, and so is a form or
+        the like with most of the page's words; a header's title counts only with the header's names."""
         name = self.kind[at]
         inside = label is not None and label[0] < at < label[1]
         if not self.open[at] or name in VOID or not (name in ASIDE or name == "header" and not inside):
             return None
-        return self.close_at.get(at, len(self.kind) - 1 if name == "footer" else None)
+        end = self.close_at.get(at, len(self.kind) - 1 if name == "footer" else None)
+        if end is None or name == "head":
+            return end
+        if name in WRAPS and 2 * (self.words[end] - self.words[at]) > self.words[-1]:
+            return None
+        if name == "header" and any(OWN_WORDS & set(re.split("[-_]+", x)) for x in names_of(self.text[at])):
+            return None
+        k = bisect_left(self.held, at)
+        while k < len(self.held) and self.held[k] < end:
+            if name != "header" or self.kind[self.held[k]] != "h1":
+                return None
+            k += 1
+        return end
 
     def label(self) -> tuple[int, int] | None:
         """The range of the page's only article (else main) element, if it has exactly one."""
@@ -130,7 +151,7 @@ def _marked(page: Page, at: int, inside: bool, marks: dict[str, bool], titles: l
 def classes(page: Page, marks: dict[str, bool]) -> list[tuple[str, int, int, int]]:
     """(class of score, how often, token, outermost marked element or -1) of the stream. Elements
     that are cut by name are one gap."""
-    label, out, linked, at = page.label(), [], 0, 0
+    label, out, linked, title, at = page.label(), [], 0, 0, 0
     titles = [i for i, k in enumerate(page.kind) if k == "h1" and page.open[i]]
     mark, mark_end = -1, -1
     while at < len(page.kind):
@@ -142,6 +163,8 @@ def classes(page: Page, marks: dict[str, bool]) -> list[tuple[str, int, int, int
                 out.append(("gap", 1, at, mark))
                 at = end + 1
                 continue
+            if name == "h1":
+                title = page.close_at.get(at, -1) if page.open[at] else -1
             if name == "a":
                 linked = linked + 1 if page.open[at] else max(0, linked - 1)
             elif mark < 0 and page.open[at] and name not in VOID and _marked(page, at, label is not None and label[0] < at < label[1], marks, titles):
@@ -149,7 +172,7 @@ def classes(page: Page, marks: dict[str, bool]) -> list[tuple[str, int, int, int
             known = name in BLOCK or name in VOID or name in INLINE
             out.append((f"tag:{name}" if known else "tag", 1, at, mark))
         elif n := len(page.text[at].split()):
-            out.append(("marked" if mark >= 0 else "linked" if linked else "word", n, at, mark))
+            out.append(("marked" if mark >= 0 else "title" if at < title else "linked" if linked else "word", n, at, mark))
         else:
             out.append(("space", 0, at, mark))
         at += 1
@@ -205,7 +228,7 @@ def main_text(source: str | None, weights: Weights) -> str:
     blocks, own = [], []
     for (c, _, at, _), out in zip(stream[found[0] : found[1] + 1], gone[found[0] : found[1] + 1]):
         name = page.kind[at]
-        if c == "gap" or name in BLOCK:
+        if name in BLOCK:  # a gap of another name stands within its block
             blocks.append("".join(own))
             own = []
         elif out:
@@ -274,7 +297,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Weights:
         total = [sum(v[i] for v in own.values()) + SMOOTH * len(own) for i in (0, 1)]
         for c, v in own.items():
             odds = math.log((v[0] + SMOOTH) / total[0]) - math.log((v[1] + SMOOTH) / total[1])
-            out[c] = min(3.0, max(0.5 if c == "word" else 0.1, odds)) if own is words else min(-0.02, max(-3.0, odds - 0.5))
+            out[c] = min(3.0, max({"word": 0.5, "title": 2.0}.get(c, 0.1), odds)) if own is words else min(-0.02, max(-3.0, odds - 0.5))
     return Weights(out, marks)
 
 
@@ -284,8 +307,9 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
     Words score positive and tags negative, words in elements with a mark of the outside
     (learnt, or a fixed one) negative too; the contiguous run with the largest sum is the
     article. Elements that hold no article text by their name (menus, footers, asides, forms,
-    scripts, styles), and marked ones of a negative score, are left out of the stream, so
-    the run may span them. Character references are decoded, white space in a block becomes
+    scripts, styles; not if they wrap an article, a title or, as forms may, most of the page), and marked
+    ones of a negative score, are left out of the stream, so the run may span them. Words of a
+    title score higher than others. Character references are decoded, white space in a block becomes
     one space, blocks are joined by a line feed; br is white space. Null, empty and
     wordless pages give an empty text. Rows and columns pass through; a column named as the
     output is replaced. ``weights``: by default learnt from ``pages``.
