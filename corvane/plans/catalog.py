@@ -416,6 +416,15 @@ def run_log_live(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(live.FRAMES).parquet(f"{home}/frames")
 
 
+@_query(ORACLES["run_log_live"])
+def run_log_told(spark: SparkSession, d: str) -> DataFrame:
+    """The same frames of the finished log, by windows."""
+    events = _read(spark, d, "events")
+    log = _log_rows(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = log.agg(F.max(F.unix_micros("ts"))).first()[0]
+    return live.told(log, until=F.timestamp_micros(F.lit(last).cast("long")))
+
+
 @_query("""WITH e AS (SELECT *, event_type = 'purchase' AS stop, CASE WHEN event_type = 'purchase' THEN 0 ELSE length(props) END AS own FROM events),
 r AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
 c AS (SELECT *, sum(own) OVER (PARTITION BY user_id, part ORDER BY event_id) AS n FROM r)
@@ -514,6 +523,17 @@ def project_listing(spark: SparkSession, d: str) -> DataFrame:
     return source.listing(spark, Project("p", repo_root=root)).select("path")
 
 
+@_query("SELECT doc_id || '.txt' AS path, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0)")
+def file_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a file; one is asked for by its path, and it alone is opened."""
+    root, docs = _shared(spark), _read(spark, d, "documents").where("doc_id IS NOT NULL")
+    os.makedirs(root, exist_ok=True)
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    sinks.write_files(docs.select(path.alias("path"), F.lit("create").alias("operation"), F.col("text").alias("content"), F.col("doc_id").alias("pos")), root)
+    last = docs.where(F.length(t.ustrip(F.col("text"))) > 0).agg(F.max("doc_id")).first()[0]
+    return source.scan(spark, Project("p", repo_root=root), only=f"{last}.txt").select("path", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 @_query("SELECT label::VARCHAR AS path, count(*) AS n_chunks, sum(vec_id)::BIGINT AS total FROM embeddings WHERE label IS NOT NULL AND vec_id % 2 = 1 GROUP BY label")
 def index_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """An index published twice: the manifest names the second snapshot, the first is still whole."""

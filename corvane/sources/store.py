@@ -125,24 +125,17 @@ class Snapshots:
         return self.manifest(name) is not None
 
     def publish(self, name: str, table: DataFrame) -> dict:
-        """Store a table as the current snapshot. If the job fails, the current one stays as it is."""
+        """Store a table as the current snapshot. If the job fails, the current one stays as it is. Only a
+        snapshot that a manifest named is ever removed: another writer's may not be swapped in yet."""
         before, folder, own = self.manifest(name), self._folder(name), f"data-{uuid.uuid4().hex}"
         table.write.parquet(f"{folder}/{own}")
         files = [n for n in names(self.spark, f"{folder}/{own}") if n.endswith(".parquet")]
         now = {"snapshot": own, "files": files, "before": before and before["snapshot"], "schema": table.schema.json()}
         swap(self.spark, f"{folder}/manifest.json", json.dumps(now))
-        kept = {own, before and before["snapshot"]}
-        for old in names(self.spark, folder):
-            if old.startswith("data-") and old not in kept and self._older(folder, old, own):
-                remove(self.spark, f"{folder}/{old}")
+        if before and before["before"]:  # readers have had a whole rebuild's time to leave it
+            remove(self.spark, f"{folder}/{before['before']}")
         return now
 
-    def _older(self, folder: str, old: str, own: str) -> bool:
-        """Whether a snapshot was begun before ours: another writer's newer one is not ours to remove."""
-        fs, a = _at(self.spark, f"{folder}/{old}")
-        _, b = _at(self.spark, f"{folder}/{own}")
-        return fs.getFileStatus(a).getModificationTime() <= fs.getFileStatus(b).getModificationTime() and fs.exists(_at(self.spark, f"{folder}/{old}/_SUCCESS")[1])
-
     def open(self, name: str) -> DataFrame | None:
         """The current snapshot, by the files its manifest names; None if there is none."""
         from pyspark.sql.types import StructType
