@@ -266,7 +266,7 @@ def mine_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     smaller id. Fewer: all; a positive whose window is empty gives no row.
 
     Rows with a null id, label or vector, or with a null or non-finite component, take no part, nor
-    do empty vectors and those shorter than the longest. Scaled components from 2 ** 20 on are an
+    do empty vectors and those of another length than most (of equally frequent lengths, the least). Scaled components from 2 ** 20 on are an
     error. Rows that repeat an id all count, but never with an anchor of that id; anchors that
     repeat in full count once. Other columns are ignored; an empty table gives an empty table.
 
@@ -285,14 +285,14 @@ def mine_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     valid = rows.where(good & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     known = valid.select(F.col(f"`{id_col}`").cast("long").alias("id"), label.alias("label"), whole.alias("x"), anchor.alias("is_anchor"))
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
-    longest = valid.agg(F.max(F.size(v))).first()[0]
-    if longest is None:
+    dims = valid.agg(F.mode(F.size(v), True)).first()[0]
+    if dims is None:
         return spark.createDataFrame([], schema)
-    known = known.where(F.size("x") == longest)
+    known = known.where(F.size("x") == dims)
     packed = materialize(known.select("id", "label", "x").mapInArrow(_pack(BLOCK), _PACKED))
-    ends = packed.mapInArrow(_bounds, "low array<long>, high array<long>").agg(*[F.min(F.get("low", F.lit(d))).alias(f"l{d}") for d in range(longest)], *[F.max(F.get("high", F.lit(d))).alias(f"h{d}") for d in range(longest)]).first()
+    ends = packed.mapInArrow(_bounds, "low array<long>, high array<long>").agg(*[F.min(F.get("low", F.lit(d))).alias(f"l{d}") for d in range(dims)], *[F.max(F.get("high", F.lit(d))).alias(f"h{d}") for d in range(dims)]).first()
     some = np.array([r.x for r in known.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()], np.int64)
-    cells = Cells.of(some, np.array(ends[:longest], np.int64), np.array(ends[longest:], np.int64))
+    cells = Cells.of(some, np.array(ends[:dims], np.int64), np.array(ends[dims:], np.int64))
     file = materialize(packed.mapInArrow(_coded(cells), f"{_PACKED}, codes binary"))
     asked = materialize(known.where("is_anchor").select("id", "label", "x").distinct())
     if not (n := asked.count()):

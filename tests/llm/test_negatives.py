@@ -90,7 +90,7 @@ def test_few_rows_are_scored():
 
 def test_rows_that_take_no_part(spark):
     base = [(i, i % 2, [1.0 + i / 50, 1.0 - i / 70]) for i in range(40)]
-    odd = [(40, None, [1.0, 1.0]), (None, 1, [1.0, 1.0]), (41, 1, None), (42, 1, [1.0, None]), (43, 1, [float("nan"), 1.0]), (44, 1, [float("inf"), 1.0]), (45, 1, []), (46, 1, [1.0])]
+    odd = [(40, None, [1.0, 1.0]), (None, 1, [1.0, 1.0]), (41, 1, None), (42, 1, [1.0, None]), (43, 1, [float("nan"), 1.0]), (44, 1, [float("inf"), 1.0]), (45, 1, []), (46, 1, [1.0]), (47, 1, [1.0, 1.0, 1.0])]
     twice = [base[0], base[10], base[10], (3, 0, base[3][2]), (20, 0, [0.0, 0.0])]
     rows = base + odd + twice
     kept = base + twice
