@@ -609,9 +609,9 @@ def story_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lookup.find_by_id(c.where("trim(c_name) <> ''"), c.agg(F.max("c_name")).first()[0].upper(), None, "c_name", "c_custkey").select("c_custkey", "c_name")
 
 
-@_query(f"SELECT c_custkey, {_limit("repeat(c_name || ' ', 4000)", 64000)} || chr(10) || 'Reply in JSON.' AS n FROM customer WHERE c_custkey IN (SELECT min(c_custkey) FROM customer)".replace("AS n FROM", "AS prompt FROM"))
+@_query(f"WITH p AS (SELECT c_custkey, {_limit("repeat(c_name || ' ', 3500)", 64000)} || chr(10) || 'Reply in JSON.' AS prompt FROM customer) SELECT c_custkey, length(prompt)::BIGINT AS n_chars, md5(prompt) AS digest FROM p")
 def prompt_hint(spark: SparkSession, d: str) -> DataFrame:
-    """The reply format follows the cap, so that no prompt loses it."""
-    c = _read(spark, d, "customer")
-    long = c.where(F.col("c_custkey") == c.agg(F.min("c_custkey")).first()[0]).select("c_custkey", F.repeat(F.concat("c_name", F.lit(" ")), 4000).alias("x"))
-    return long.select("c_custkey", capped(F.col("x"), "\nReply in JSON.").alias("prompt"))
+    """The reply format follows the cap, so that no prompt loses it: a long prompt per customer."""
+    long = F.repeat(F.concat("c_name", F.lit(" ")), 3500)
+    told = _read(spark, d, "customer").select("c_custkey", t.once(long, lambda x: capped(x, "\nReply in JSON.")).alias("p"))
+    return told.select("c_custkey", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("digest"))
