@@ -113,11 +113,13 @@ class Engine:
         return f"{self.home}/runs/{run_id}"
 
     def run_log(self, run_id: str) -> DataFrame:
-        """The frames of a run so far, in the order of ``seq``: two opening ones, a message each, the end."""
+        """The frames of a run so far, in the order of ``seq``: two opening ones, a message each, one end, at
+        the run's own or after silence; nothing follows it."""
         path = self._runs(run_id)
         if not os.path.isdir(path):
             raise NotFound(f"No such run: {run_id}")
-        return run_log.frames(run_log.read_log(self.spark, path, stream=False), opening=True)
+        told = live.told(run_log.read_log(self.spark, path, stream=False), until=F.current_timestamp())
+        return told.select("run_id", F.col("n").alias("seq"), "frame", (F.col("frame") == run_log.DONE).alias("ends"))
 
     def follow(self) -> DataFrame:
         """A streaming DataFrame (run_id, n, frame) of all runs as they are told: two opening frames, a
