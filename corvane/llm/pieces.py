@@ -292,7 +292,8 @@ def piece_encode(df: DataFrame, model: str, text_col: str = "text", ids_col: str
 def piece_decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of each id array, as the sentencepiece library gives it.
     Null and empty arrays give an empty text; bytes that are no UTF-8 become U+FFFD each; an id
-    outside the vocabulary raises an error."""
+    outside the vocabulary raises an error. Unlike the library, byte ids on both sides of a control
+    id are one run of bytes; encoding never gives such ids."""
     small_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text_col]
     sent = df.select(*[F.col(f"`{c}`") for c in kept])
