@@ -23,6 +23,9 @@ GROUP_PIECES = 60_000
 NODES, SEARCH = 400, 200_000
 #: Bins with the most room that are searched together where all are too many for one search.
 TAIL = 24
+#: Windows that are completed anew once that search has ended, the bins they are drawn from, and
+#: the most bins of one window.
+ROUNDS, POOL, WINDOW = 12_000, 400, 16
 
 _SPECIAL = "<|endoftext|>"
 
@@ -263,23 +266,53 @@ def greedy_completion(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def gather(bins: list[list[int]], capacity: int, least: int, rounds: int = ROUNDS) -> list[list[int]]:
+    """Fewer bins, or as many with their room in fewer of them. Windows, half of them bins with room,
+    move over the bins with most room; each is completed anew from its largest items on and takes the
+    place of the old one if the room is gathered no less (the sum of squared loads). A bin whose room
+    has all been gathered is gone. Ends at ``least`` bins or after ``rounds`` windows."""
+    rng = np.random.default_rng(17)
+    bins.sort(key=sum)
+    pool, rest = bins[:POOL], bins[POOL:]
+    loads = [sum(b) for b in pool]
+    for _ in range(rounds):
+        if len(pool) + len(rest) <= least:
+            break
+        room = [i for i, n in enumerate(loads) if n < capacity]
+        k = int(rng.integers(3, WINDOW + 1))
+        own = set(rng.choice(room, min(len(room), k // 2), replace=False).tolist())
+        own.update(rng.choice(len(pool), min(len(pool), k - len(own)), replace=False).tolist())
+        new = greedy_completion([n for i in own for n in pool[i]], capacity)
+        full = [sum(b) for b in new]
+        if sum(n * n for n in full) >= sum(loads[i] ** 2 for i in own):
+            pool = [b for i, b in enumerate(pool) if i not in own] + new
+            loads = [n for i, n in enumerate(loads) if i not in own] + full
+    return pool + rest
+
+
 def bin_completion(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item. Lengths must lie in 1 to ``capacity``.
 
     Best fit and greedy completion give the incumbent. While it exceeds the lower bound, the
     branch and bound looks for one bin less, over all bins where they are few, else over the
-    bins with the most room.
+    bins with the most room. When that finds none, ``gather`` completes windows of bins anew, and
+    the search goes on from the incumbent it leaves, until neither saves a bin.
     """
     own = lengths.tolist()
     bins = min(best_fit(own, capacity), greedy_completion(own, capacity), key=len)
     least = lower_bound(lengths, capacity) if len(lengths) else 0
-    while len(bins) > least:
-        bins.sort(key=sum)
-        head, rest = bins[:TAIL], bins[TAIL:]
-        got = search([n for b in head for n in b], capacity, len(head))
-        if got is None:
-            break
-        bins = got + rest
+    before = len(bins) + 1
+    while least < len(bins) < before:
+        before = len(bins)
+        while len(bins) > least:
+            bins.sort(key=sum)
+            head, rest = bins[:TAIL], bins[TAIL:]
+            got = search([n for b in head for n in b], capacity, len(head))
+            if got is None:
+                break
+            bins = got + rest
+        if len(bins) > max(least, TAIL):  # fewer bins were all in the search
+            bins = gather(bins, capacity, least)
     order = np.argsort(lengths, kind="stable")
     values, first = np.unique(lengths[order], return_index=True)
     next_at = dict(zip(values.tolist(), first.tolist()))

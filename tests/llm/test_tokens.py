@@ -93,6 +93,17 @@ def test_many_bins():
     assert sorted(map(len, best_fit([5, 5, 6], 10))) == [1, 2]
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_exact_triples(seed):
+    """200 triples that fill a bin exactly come into 200 bins, beyond what one search covers."""
+    rng = np.random.default_rng(seed)
+    cuts = [sorted(rng.choice(np.arange(1, 2048), 2, replace=False).tolist()) for _ in range(200)]
+    lengths = np.array([n for a, b in cuts for n in (a, b - a, 2048 - b)])
+    bins, offset = bin_completion(lengths, 2048)
+    check_bins(lengths, bins, offset, 2048)
+    assert bins.max() + 1 == lower_bound(lengths, 2048) == 200
+
+
 def test_fillings_are_undominated():
     """A filling stays unless a length left out could take the place of lengths that are no longer."""
     assert fillings([7, 5, 3], {7: 1, 5: 2, 3: 2}, 13, 13, [10**6]) == [(0, [7, 3, 3]), (0, [5, 5, 3]), (1, [7, 5])]
