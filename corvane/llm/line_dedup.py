@@ -17,7 +17,7 @@ from corvane.llm.set_join import alike
 
 @dataclass(frozen=True)
 class Shape:
-    """``chars``: characters of a shingle, and of the shortest line that is compared; ``bands`` of
+    """``chars``: characters of a shingle; ``bands`` of
     ``rows`` minima each, a power of two minima in all; ``jaccard``: least similarity of shingle
     sets; ``small``: buckets of so many lines are compared pair by pair."""
 
@@ -29,10 +29,10 @@ class Shape:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
-    """Lines of at least a shingle's length with their row's keys, their place and their hash, twice."""
+    """Lines with a letter or digit, with their row's keys, their place and their hash, twice."""
     cut = docs.select(F.col(id_col).alias("_id"), *row_key(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("_k", "_line"))
     cut = cut.select("_id", "_k1", "_k2", "_k", F.trim("_line", F.lit(" \t\r")).alias("_line"))
-    return cut.where(F.length("_line") >= shape.chars).withColumns({"_c": F.xxhash64("_line"), "_d": F.xxhash64(F.lit(1), "_line")})
+    return cut.where(F.col("_line").rlike(r"[\p{L}\p{N}]")).withColumns({"_c": F.xxhash64("_line"), "_d": F.xxhash64(F.lit(1), "_line")})
 
 
 def _starts(wide: Column, chars: int) -> Column:
@@ -132,8 +132,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines whose shingle sets are alike are one component, however far apart; its first line,
     by id (null last) and place, stays, and the others leave all texts. Equal lines (after
-    trimming) are one node from the start. Lines shorter than a shingle always stay: they are
-    brackets, marks and numbers, and no passage. What moves between stages is hashes and places
+    trimming) are one node from the start. A line shorter than a shingle is its own only shingle, so
+    it is like its equals alone. Lines without a letter or digit (blank ones, brackets, rules) say
+    nothing by themselves and always stay. What moves between stages is hashes and places
     of lines, and the text of lines to verify. Lines are named by 64-bit hashes; a second one
     guards against strangers of one name, of which the one with the larger stays.
 

@@ -165,6 +165,16 @@ def test_lines_edges(spark):
     assert line_dedup(df).count() == len(rows) and line_dedup(df.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines under a shingle's length stay once, and only their equals go; marks stay everywhere."""
+    rows = [(i, f"Read more\n}}\n\n---\nitem {i}\n{'Read mor' if i % 2 else 'Read more!'}\n你好") for i in range(50)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.text for d, r in got.items()} == deduped(rows, alike_pairs)
+    texts = [r.text for r in got.values()]
+    assert sum("Read more\n" in t for t in texts) == 1 and sum("Read mor" in t.split("\n") for t in texts) == 1
+    assert all("}\n\n---\nitem" in t for t in texts) and got[7].lines_dropped == 3 and got[7].lines_total == 7
+
+
 def test_lines_crowded_bucket(spark):
     """Many lines share half their text and two edited families hide among them."""
     rng = np.random.default_rng(9)
@@ -191,8 +201,8 @@ def all_shingles(line, k=12):
 
 
 def deduped(docs, alike):
-    """Texts after brute force over all pairs of lines of a shingle's length or more."""
-    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if len(x.strip()) >= 12}
+    """Texts after brute force over all pairs of lines with a letter or digit."""
+    places = {(d, i): x.strip() for d, t in docs for i, x in enumerate(t.split("\n")) if any(c.isalnum() for c in x)}
     root, first = closure(set(places.values()), alike(sorted(set(places.values())))), {}
     for p in sorted(places):
         first.setdefault(root[places[p]], p)
