@@ -104,12 +104,23 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
+def _sets(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """(key, count, x, y, rep) of rows (_r, key, count): keys with one count that stand in the same rows
+    have one set (x, y) of rows, whose least key stands for all."""
+    sets = rows.groupBy(key, count).agg(F.bit_xor(F.xxhash64(F.lit(1), "_r")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "_r")).alias("y"))
+    sets = materialize(sets)
+    least = sets.groupBy(count, "x", "y").agg(F.min(key).alias("rep"))
+    return materialize(sets.join(least, [count, "x", "y"]))
+
+
 def _disclosing(own: DataFrame, slim: DataFrame, limits: Limits) -> DataFrame | None:
     """(_k1, _k2, terms): what each text holds of the terms that disclose a value; None if no value
     is in enough documents.
 
     Only values and terms that can reach the limits are paired: values of ``support`` documents
     at least, and terms whose documents with such values, a lower bound of n_t, are few enough.
+    Values that stand in the same documents are one when they are paired, and so are terms with
+    equal counts that do: copies of a long list of addresses have a few pairs and not a square.
     """
     n = F.lit(float(max(2, slim.count())))
     some = slim.where(F.size("base") > 0).select("_r", "_text", F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("es"))
@@ -140,11 +151,17 @@ def _disclosing(own: DataFrame, slim: DataFrame, limits: Limits) -> DataFrame |
         if not (left := terms.count()):
             return None
     n_t = terms.select("t", "n_t")
-    pairs = near.select("_r", "t").join(bounded(n_t, left), "t").join(meets, "_r").groupBy("e", "t").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    stand = materialize(near.select("_r", "t").join(bounded(n_t, left), "t"))
+    one_t, one_e = _sets(stand, "t", "n_t"), _sets(meets, "e", "n_e")
+    reps = lambda sets, key: sets.where(F.col(key) == F.col("rep")).select(key)
+    some_t = stand.join(bounded(reps(one_t, "t"), left), "t", "left_semi")
+    some_e = meets.join(bounded(reps(one_e, "e"), known), "e", "left_semi")
+    pairs = some_t.join(some_e, "_r").groupBy("e", "t").agg(F.count("*").alias("n_te"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     content, mutual = F.log(n / F.col("n_e")), F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     share = F.when(content > 0, mutual / content).otherwise(0.0)
-    told = pairs.where(F.col("n_te") >= limits.support).select("t", share.alias("share")).where(F.col("share") >= limits.generalise)
-    told = materialize(told.groupBy("t").agg((F.max("share") >= limits.remove).alias("gone")))
+    told = pairs.where(F.col("n_te") >= limits.support).select(F.col("t").alias("rep"), share.alias("share")).where(F.col("share") >= limits.generalise)
+    told = told.groupBy("rep").agg((F.max("share") >= limits.remove).alias("gone"))
+    told = materialize(one_t.select("t", "rep").join(told, "rep").select("t", "gone"))
     return materialize(stands.join(bounded(told, told.count()), "t").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("t", "gone")).cast(_TERMS).alias("terms")))
 
 

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import langid
-from corvane.llm.common import running
+from corvane.llm import langid, pii
+from corvane.llm.common import materialize, row_key, running
 from corvane.llm.chat import format_chat, parse_chat
 from corvane.llm.html_extract import Weights, best_run, extract_main_text, learn_weights, main_text
 from corvane.llm.pii import find_pii, sanitise
@@ -123,6 +123,28 @@ def test_disclosing_terms(spark):
     assert len(out) == len(rows) and sanitise(df.limit(0)).count() == 0 and find_pii(df.limit(0)).count() == 0 and sanitise(df).columns == df.columns and sanitise(df).count() == len(rows)
 
 
+def test_terms_of_copied_lists(spark):
+    """Copies of a list have one pair of row sets; what stands elsewhere too is told apart as before."""
+    entry = lambda i: f"name{i} has u{i}@mail.example"
+    rows = [(i, " ".join(entry(j) for j in range(40))) for i in range(3)]
+    rows += [(10 + i, f"{entry(i)} and name{i + 1} near {entry(50)}") for i in range(8)] + [(20 + i, f"plain name{i} text{i % 7}") for i in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    terms = plain_terms(rows)
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "term"} for r in find_pii(df).collect()}
+    for d, t in rows:
+        base = slow_base(t)
+        assert got[d] == {m.span() for m in re.finditer(r"[^\W\d_][^\W_]+", t) if m[0].lower() in terms and not any(m.start() < b and a < m.end() for _, a, b in base)}
+    assert {"name39", "name9"} <= set(terms) and "name4" not in terms
+    many = [(i, " ".join(entry(j) for j in range(5000))) for i in range(3)] + [(10 + i, f"plain text{i}") for i in range(50)]
+    own = spark.createDataFrame(many, "doc_id long, text string").withColumn("_text", F.col("text"))
+    own = materialize(own.select("_text", *row_key(own)))
+    slim = materialize(own.select("_k1", "_k2", pii.base_spans(F.col("_text")).alias("base"), "_text", F.monotonically_increasing_id().alias("_r")))
+    began = time.perf_counter()
+    told = pii._disclosing(own, slim, pii.Limits()).collect()
+    assert [len(r.terms) for r in told] == [10_003] * 3  # names, local parts, "has", "mail", "example"
+    assert time.perf_counter() - began < 60  # 25 million pairs a copy before
+
+
 def test_many_matches_are_linear(spark):
     text = " ".join(f"user{i}@mail.example and 10.0.{i % 250}.7" for i in range(20_000))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
