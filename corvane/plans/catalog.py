@@ -569,7 +569,7 @@ def stories_read(spark: SparkSession, d: str) -> DataFrame:
     home, c = _shared(spark), _read(spark, d, "customer")
     story = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.array(F.lit("a"), F.lit("b")).alias("acceptanceCriteria"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("priority"))
     arrays = c.groupBy(F.floor(F.col("c_custkey") / 1000)).agg(F.to_json(F.collect_list(story)).alias("value")).select("value")
-    arrays.repartition(8).write.text(home)
+    arrays.repartition(8).write.option("maxRecordsPerFile", 1).text(home)
     got = source.stories(spark, Project("p", stories_file=home))
     return got.select("id", "title", "priority", F.size("acceptanceCriteria").cast("long").alias("n_criteria"))
 

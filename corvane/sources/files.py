@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.types import ArrayType, StructType
 
 from corvane.functions.text import limit, ustrip
 from corvane.model import PROJECTS, STORY, NotFound, Project
@@ -250,12 +251,16 @@ def read_file(files: DataFrame, path: str) -> str | None:
 
 def stories(spark: SparkSession, project: Project) -> DataFrame:
     """A JSON array of stories, or a folder of such files, each read by a task of its own; none
-    configured: empty; a missing file or bad row fails."""
+    configured: empty; a missing file or bad row fails, and so does anything after a file's array."""
     if not project.stories_file:
         return spark.createDataFrame([], STORY)
     if not os.path.exists(project.stories_file):
         raise NotFound(project.stories_file)
-    return spark.read.schema(STORY).option("multiLine", True).option("mode", "FAILFAST").json(project.stories_file).fillna("Medium", ["priority"])
+    # Spark's JSON reader passes over what follows a file's first value; inside brackets it is an error.
+    whole = F.concat(F.lit("["), F.ltrim("value", F.lit("\ufeff")), F.lit("]"))
+    arrays = F.from_json(whole, ArrayType(ArrayType(StructType.fromDDL(STORY))), {"mode": "FAILFAST"})
+    rows = spark.read.text(project.stories_file, wholetext=True).select(F.explode(F.flatten(arrays)).alias("s"))
+    return rows.select("s.*").fillna("Medium", ["priority"])
 
 
 def project_rows(spark: SparkSession, projects: list[Project]) -> DataFrame:

@@ -263,3 +263,18 @@ def test_swallowed_rule_is_linear(spark):
         began = time.perf_counter()
         assert df.select(F.col("t").rlike(pattern).alias("x")).first().x is False
         assert time.perf_counter() - began < 3
+
+
+def test_stories_are_read_whole(spark, tmp_path):
+    """Many arrays make as many files, and what follows a file's array is not passed over."""
+    from corvane.plans.catalog import QUERIES
+
+    rows = spark.range(1, 20_001).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "int(id % 25) AS c_nationkey", "double(0) AS c_acctbal", "'X' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/d/customer.parquet")
+    assert QUERIES["stories_read"](spark, f"{tmp_path}/d").distinct().count() == 20_000
+    (tmp_path / "s.json").write_text('﻿[{"id": "a"},\n {"id": "b", "priority": "High"}]\n')
+    project = Project("p", stories_file=str(tmp_path / "s.json"))
+    assert [(r.id, r.priority) for r in source.stories(spark, project).collect()] == [("a", "Medium"), ("b", "High")]
+    (tmp_path / "s.json").write_text('[{"id": "a"}]\n[{"id": "b"}]\n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        source.stories(spark, project).collect()
