@@ -37,3 +37,9 @@ def scratch(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="corvane-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+
+
+def tasks(spark: SparkSession, rows: int, most: int) -> int:
+    """Into how many tasks rows of like cost are dealt where their bytes say nothing about it: at most
+    ``most`` rows each, and all cores have a share if there are some hundred rows a core."""
+    return max(-(-rows // most), min(4 * spark.sparkContext.defaultParallelism, -(-rows // 100)), 1)

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from corvane.model import Project, Refused
 from corvane.operators.change_plan import rejection, resolved
+from corvane.session import tasks
 from corvane.sources.files import ProjectFiles
 
+#: Files that one task writes at most.
+FILES_PER_TASK = 5000
+
 
 def save_registry(projects: list[Project], path: str) -> None:
     """Overwrite the registry, by way of a second file, so that a reader never sees half of it."""
@@ -33,17 +37,26 @@ def upload_path(path: Column) -> Column:
     return F.nullif(F.array_join(resolved(F.array_join(rest, "/")), "/"), F.lit(""))
 
 
-def write_files(rows: DataFrame, root: str) -> None:
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """One row (path, operation, content) a path, the last by ``pos``, dealt over tasks by their number:
+    adaptive execution goes by bytes and would join many small files in one task."""
+    last = F.max_by(F.struct(F.lower("operation").alias("operation"), F.col("content")), "pos").alias("r")
+    return rows.repartition(tasks(rows.sparkSession, n, FILES_PER_TASK), "path").groupBy("path").agg(last).select("path", "r.operation", "r.content")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
     """Write or delete the files of (path, operation, content, pos) below ``root``, all or none: tasks
-    stage them, the job's end renames them. Of several rows for a path the last by ``pos`` counts."""
+    stage them, the job's end renames them. Of several rows for a path the last by ``pos`` counts.
+    Returns how many rows there were."""
     rows.sparkSession.dataSource.register(ProjectFiles)
-    last = rows.groupBy("path").agg(F.max_by(F.struct(F.lower("operation").alias("operation"), F.col("content")), "pos").alias("r")).select("path", "r.operation", "r.content")
+    n = rows.count()
     try:
-        last.write.format("project_files").mode("append").option("root", root).save()
+        _dealt(rows, n).write.format("project_files").mode("append").option("root", root).save()
     except Exception as e:
         if m := re.search(r"Path traversal attempt blocked: [^\n]*", str(e)):
             raise Refused(m[0]) from None
         raise
+    return n
 
 
 def upload(files: DataFrame, root: str, name: str) -> tuple[Project, int]:
@@ -52,8 +65,7 @@ def upload(files: DataFrame, root: str, name: str) -> tuple[Project, int]:
     base = Path(root).resolve() / project.id
     base.mkdir(parents=True, exist_ok=True)
     rows = files.select(upload_path(F.col("path")).alias("path"), F.lit("create").alias("operation"), "content").where("path IS NOT NULL").withColumn("pos", F.monotonically_increasing_id())
-    write_files(rows, str(base))
-    return replace(project, repo_root=str(base)), rows.count()
+    return replace(project, repo_root=str(base)), write_files(rows, str(base))
 
 
 def apply_plan(files: DataFrame, project: Project) -> DataFrame:

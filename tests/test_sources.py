@@ -265,6 +265,13 @@ def test_swallowed_rule_is_linear(spark):
         assert time.perf_counter() - began < 3
 
 
+def test_small_files_are_written_by_many_tasks(spark):
+    """Few bytes are not little work: adaptive execution may not join them in one task."""
+    rows = spark.range(4000).selectExpr("concat(id % 2000, '.md') AS path", "'create' AS operation", "'x' AS content", "id AS pos")
+    assert sinks._dealt(rows, 4000).select(F.spark_partition_id()).distinct().count() >= 8
+    assert sinks._dealt(rows, 4000).count() == 2000
+
+
 def test_stories_are_read_whole(spark, tmp_path):
     """Many arrays make as many files, and what follows a file's array is not passed over."""
     from corvane.plans.catalog import QUERIES
