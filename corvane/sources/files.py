@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache, partial
 from pathlib import Path
 
 from pyspark import TaskContext
@@ -20,8 +21,13 @@ from pyspark.sql.types import ArrayType, StructType
 from corvane.functions.text import limit, ustrip
 from corvane.model import PROJECTS, STORY, NotFound, Project
 
-#: Files that one task lists and reads.
+#: Files that one task lists and reads, where a folder is not cut more often than ``MOST_PARTS``.
 PATHS_PER_TASK = 500
+#: Parts of one folder at most, or twice the session's cores: each part passes the names of all, so
+#: that more parts with more names would be quadratic.
+MOST_PARTS = 64
+#: Folders that a writing task remembers.
+FOLDERS_HELD = 10_000
 COLUMNS = "project_id string, path string, content string, reason string"
 
 
@@ -42,6 +48,8 @@ class _Reader(DataSourceReader):
         self.root, self.project, self.columns = options["root"], options.get("project_id", ""), columns
         split = lambda name: [x for x in options.get(name, "").split(",") if x]
         self.extensions, self.excluded = set(split("extensions")), set(split("excluded"))
+        self.most = max(MOST_PARTS, int(options.get("parts", 0)))
+        self.endings = tuple(f".{x}" for x in self.extensions)
         self.named: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -71,7 +79,8 @@ class _Reader(DataSourceReader):
             yield folder, n
 
     def partitions(self) -> list[InputPartition]:
-        """Folders only; large ones are cut by their names' hashes, small ones share a task."""
+        """Folders only; large ones are cut by their names' hashes, into a bounded number of parts;
+        small ones share a task."""
         if self.named is not None:
             asked = sorted(filter(self._may_see, self.named))
             return [_Named(asked[i : i + PATHS_PER_TASK]) for i in range(0, len(asked), PATHS_PER_TASK)] or [_Named([])]
@@ -80,7 +89,7 @@ class _Reader(DataSourceReader):
         size = 0
         for folder, n in self._folders():
             if n > PATHS_PER_TASK:
-                of = -(-n // PATHS_PER_TASK)
+                of = min(-(-n // PATHS_PER_TASK), self.most)
                 out += [_Folders([(folder, k, of)]) for k in range(of)]
             elif n:
                 if size + n > PATHS_PER_TASK:
@@ -91,7 +100,7 @@ class _Reader(DataSourceReader):
         return [*out, _Folders(held)]
 
     def _kind(self, name: str) -> bool:
-        return Path(name).suffix.lower().lstrip(".") in self.extensions
+        return name.lower().endswith(self.endings) and Path(name).suffix.lower().lstrip(".") in self.extensions
 
     def _may_see(self, path: str) -> bool:
         """Whether a listing would show the path: written plainly, of a kind that is read, outside
@@ -113,7 +122,7 @@ class _Reader(DataSourceReader):
         for folder, k, of in part.parts:
             try:
                 with os.scandir(folder) as entries:
-                    names = sorted(e.name for e in entries if self._kind(e.name) and zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % of == k and not e.is_dir())
+                    names = sorted(e.name for e in entries if (of == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % of == k) and self._kind(e.name) and not e.is_dir())
             except OSError as e:
                 yield folder, type(e).__name__
                 continue
@@ -121,8 +130,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         opens = "content" in self.columns or "reason" in self.columns
+        below = os.path.join(self.root, "")
         for at, reason in self._found(partition):
-            row = {"project_id": self.project, "path": os.path.relpath(at, self.root).replace(os.sep, "/"), "content": None, "reason": reason}
+            path = at[len(below) :] if at.startswith(below) else os.path.relpath(at, self.root)
+            row = {"project_id": self.project, "path": path.replace(os.sep, "/"), "content": None, "reason": reason}
             if opens and reason is None:
                 try:
                     with open(at, encoding="utf-8", errors="ignore") as f:
@@ -151,17 +162,23 @@ class _Writer(DataSourceWriter):
         context = TaskContext.get()
         own = Path(self.staging, f"{context.partitionId()}-{context.taskAttemptId()}")
         gone = []
+        # Nothing below the root changes before the commit, so a folder is resolved and made once.
+        real, made = lru_cache(FOLDERS_HELD)(os.path.realpath), lru_cache(FOLDERS_HELD)(partial(os.makedirs, exist_ok=True))
         for r in iterator:
-            target = os.path.realpath(os.path.join(self.root, r.path))
+            folder, name = os.path.split(os.path.join(self.root, r.path))
+            target = os.path.join(real(folder), name)
+            if name in ("", ".", "..") or os.path.islink(target):
+                target = os.path.realpath(target)
             if not target.startswith(f"{self.root}{os.sep}"):  # by way of a link
                 raise ValueError(f"Path traversal attempt blocked: {r.path}")
-            rel = os.path.relpath(target, self.root)
+            rel = target[len(self.root) + 1 :]
             if r.operation == "delete":
                 gone.append(rel)
                 continue
-            part = own / "files" / rel
-            part.parent.mkdir(parents=True, exist_ok=True)
-            part.write_text(r.content or "", encoding="utf-8")
+            part = f"{own}/files/{rel}"
+            made(os.path.dirname(part))
+            with open(part, "wb") as f:
+                f.write((r.content or "").encode())
         if gone:
             own.mkdir(parents=True, exist_ok=True)
             (own / "deletes").write_text(json.dumps(gone), encoding="utf-8")
@@ -214,7 +231,7 @@ def _load(spark: SparkSession, project: Project, schema: str) -> DataFrame:
         raise NotFound(f"No such directory: {project.repo_root}")
     spark.dataSource.register(ProjectFiles)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    read = spark.read.format("project_files").schema(schema).option("root", project.repo_root).option("project_id", project.id)
+    read = spark.read.format("project_files").schema(schema).option("root", project.repo_root).option("project_id", project.id).option("parts", str(2 * spark.sparkContext.defaultParallelism))
     return read.option("extensions", ",".join(x.lstrip(".").lower() for x in Project("").extensions())).option("excluded", ",".join(project.excluded())).load()
 
 

@@ -265,6 +265,17 @@ def test_swallowed_rule_is_linear(spark):
         assert time.perf_counter() - began < 3
 
 
+def test_parts_of_a_folder_are_bounded(spark, tmp_path, monkeypatch):
+    """Each part passes all of a folder's names, so their number ends; every file is found once."""
+    for i in range(3000):
+        (tmp_path / f"{i}.md").touch()
+    monkeypatch.setattr(source, "PATHS_PER_TASK", 10)
+    r = reader(Project("p", repo_root=str(tmp_path)), ("path",))
+    parts = [p for p in r.partitions() if p.parts]
+    assert len(parts) == source.MOST_PARTS
+    assert sorted(x[0] for p in parts for x in r.read(p)) == sorted(f"{i}.md" for i in range(3000))
+
+
 def test_small_files_are_written_by_many_tasks(spark):
     """Few bytes are not little work: adaptive execution may not join them in one task."""
     rows = spark.range(4000).selectExpr("concat(id % 2000, '.md') AS path", "'create' AS operation", "'x' AS content", "id AS pos")
