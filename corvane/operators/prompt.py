@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import limit, python_list, redact
+from corvane.functions.text import TRUNCATED, limit, once, python_list, redact
 
 # The prompt's wording.
 HEAD = """ROLE: senior Java/Spring Boot engineer
@@ -31,6 +31,10 @@ def prompt(project: dict[str, Column], extensions: Column, story: Column, analys
 
 
 def capped(whole: Column, hint: str = "") -> Column:
-    """A prompt under its cap, with the hint after it."""
-    whole = limit(whole, 64000)
-    return F.concat(whole, F.lit(hint)) if hint else whole
+    """A prompt under its cap, with the hint after it. Long prompts are passed once: what the cut leaves
+    has fewer bytes only if there was more."""
+
+    def told(text: Column, head: Column) -> Column:
+        return F.when(F.octet_length(head) < F.octet_length(text), F.concat(head, F.lit(TRUNCATED + hint))).otherwise(F.concat(text, F.lit(hint)))
+
+    return once(F.coalesce(whole, F.lit("")), lambda text: once(F.substring(text, 1, 64000), lambda head: told(text, head)))

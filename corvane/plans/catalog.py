@@ -21,7 +21,7 @@ from corvane.sources import files as source
 from corvane.sources import sinks
 from corvane.sources.files import not_blank
 from corvane.sources.store import Snapshots
-from corvane.session import scratch
+from corvane.session import scratch, tasks
 from corvane.streaming import live, run_log
 
 MAX_FILE_CHARS, MAX_CONTEXT_FILES = 6000, 4
@@ -611,7 +611,9 @@ def story_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH p AS (SELECT c_custkey, {_limit("repeat(c_name || ' ', 3500)", 64000)} || chr(10) || 'Reply in JSON.' AS prompt FROM customer) SELECT c_custkey, length(prompt)::BIGINT AS n_chars, md5(prompt) AS digest FROM p")
 def prompt_hint(spark: SparkSession, d: str) -> DataFrame:
-    """The reply format follows the cap, so that no prompt loses it: a long prompt per customer."""
-    long = F.repeat(F.concat("c_name", F.lit(" ")), 3500)
-    told = _read(spark, d, "customer").select("c_custkey", t.once(long, lambda x: capped(x, "\nReply in JSON.")).alias("p"))
+    """The reply format follows the cap, so that no prompt loses it: a long prompt per customer, which
+    is some thousand times the customer's own bytes, so rows are dealt over tasks by their number."""
+    c = _read(spark, d, "customer").select("c_custkey", "c_name")
+    c = c.repartition(tasks(spark, c.count(), 5000))
+    told = c.select("c_custkey", capped(F.repeat(F.concat("c_name", F.lit(" ")), 3500), "\nReply in JSON.").alias("p"))
     return told.select("c_custkey", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("digest"))

@@ -296,3 +296,13 @@ def test_stories_are_read_whole(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"id": "a"}]\n[{"id": "b"}]\n')
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         source.stories(spark, project).collect()
+
+
+def test_long_prompts_are_dealt_over_tasks(spark, sf_dir):
+    from corvane.operators.prompt import capped
+    from corvane.plans.catalog import QUERIES
+
+    assert QUERIES["prompt_hint"](spark, sf_dir).select(F.spark_partition_id()).distinct().count() > 1
+    texts = ["é" * 63_999, "é" * 64_000, "é" * 64_001, "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(capped(F.col("t"), "!").alias("t"))
+    assert [r.t for r in got.collect()] == [texts[0] + "!", texts[1] + "!", texts[1] + "\n...[TRUNCATED]!", "!", "!"]
