@@ -1,19 +1,22 @@
-"""Fuzzy line deduplication by MinHash over character shingles: Spark expressions, but for crowded
-buckets, whose lines meet in blocks."""
+"""Fuzzy line deduplication by MinHash over character shingles, in Spark expressions; lines of crowded
+buckets meet by small bitmaps of their sets first."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import BROADCAST_IDS, bounded, join_hot, materialize, once, row_key
 from corvane.llm.components import components
-from corvane.llm.crowds import crowd_links
 from corvane.llm.set_join import alike
 
+#: Lines of a bucket, unlike its centre, that meet the whole bucket in one task.
+MEET = 2000
+#: Words of 64 bits in a set's bitmap.
+BIT_WORDS = 4
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -84,8 +87,8 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
     the stored places of lines that stand more than once or may have a link.
 
     Small buckets are compared pair by pair, larger ones with their least line; what is unlike it
-    is then compared with all of its bucket by ``crowd_links``, so every pair that shares a
-    bucket and is alike ends in one component.
+    meets all of its bucket in ``crowd_links``, so every pair that shares a bucket and is
+    alike ends in one component.
     """
     rows = _buckets(sig, shape)
     full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("v"), F.max("c").alias("w")).where("n > 1")
@@ -105,26 +108,48 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
     told = materialize(_like(pairs, found, shape))
     good = told.where("like").select("u", "v")
     # Members of larger buckets, with whether they are like the centre; others meet all exactly.
-    known = crowd.join(told.withColumnRenamed("u", "c"), ["c", "v"], "left").select("key", "c", F.coalesce("like", F.lit(True)).alias("joined"))
+    known = crowd.join(told.withColumnRenamed("u", "c"), ["c", "v"], "left").select("key", "c", "v", F.coalesce("like", F.lit(True)).alias("joined"))
     known = materialize(known)
     failed = known.where("NOT joined").select("key").distinct()
-    left = materialize(known.join(bounded(failed, failed.count(), BROADCAST_IDS), "key", "left_semi"))
+    left = known.join(bounded(failed, failed.count(), BROADCAST_IDS), "key", "left_semi")
+    roots = known.where("joined").groupBy("c").agg(F.min("v").alias("root"))
+    left = materialize(left.join(roots, "c", "left").select("key", "c", "joined", F.coalesce("root", "c").alias("root")))
     if left.isEmpty():
         return good, stored
-    return good.unionByName(crowd_links(left, found.withColumnRenamed("_line", "x"), lambda x: _number_sets(x, shape.chars), shape.jaccard)), stored
-
-
-def _number_sets(lines: list[str], chars: int) -> list[np.ndarray]:
-    """The sets of the lines' shingles as 64-bit numbers."""
-    out = []
-    for line in lines:
-        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        h = np.zeros(max(1, len(code) - chars + 1), np.uint64)
-        for k in range(min(chars, len(code))):
-            h = (h ^ code[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(np.unique(h))
-    return out
+    return good.unionByName(crowd_links(left, found, shape)), stored
+
+
+def _bitmaps(lines: DataFrame, shape: Shape) -> DataFrame:
+    """(c, n, b0, b1, ...) per line (c, _line): the size of its set, and for each bit of a few words
+    whether an odd number of its shingles falls on it."""
+    h = F.col("h")
+    bit = lambda k: F.when(F.shiftright(h, 6).bitwiseAND(BIT_WORDS - 1) == k, F.expr("shiftleft(1L, int(h & 63))"))
+    words = [F.coalesce(F.bit_xor(bit(k)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
+    return lines.select("c", F.explode(_set(F.col("_line"), shape)).alias("h")).groupBy("c").agg(F.count("*").alias("n"), *words)
+
+
+def crowd_links(members: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+    """Links (u, v) of all alike lines that share a bucket, but for two that are linked already.
+
+    ``members``: (key, c, joined, root), stored: joined ones are linked to the bucket's centre, and
+    lines of one root to one line. The others meet all of their bucket, dealt over tasks in parts of
+    ``MEET``. A shingle that only one of two sets has changes one bit of their bitmaps, so these differ
+    in no more bits than the sets in shingles; what can't be alike by that is not compared.
+    """
+    ids = members.select("c").distinct()
+    bits = materialize(_bitmaps(found.withColumnRenamed("_c", "c").join(bounded(ids, members.count(), BROADCAST_IDS), "c", "left_semi"), shape))
+    size = members.groupBy("key").agg(F.count("*").alias("all"), F.ceil(F.count_if(~F.col("joined")) / MEET).cast("int").alias("parts"))
+    rows = join_hot(members, materialize(size), ["key"], "all", members.count()).join(bits, "c")
+    rows = materialize(rows.select("key", "c", "joined", "root", "parts", *bits.columns[1:]))
+    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    apart = rows.where("NOT joined").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    apart = apart.select("key", "part", *[F.col(x).alias(f"{x}_") for x in ("c", "root", *bits.columns[1:])])
+    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_"))))
+    near = differ <= (F.col("n") + F.col("n_")) * ((1 - shape.jaccard) / (1 + shape.jaccard)) + 1e-6
+    once_only = (F.col("root") != F.col("root_")) & (F.col("c") != F.col("c_")) & (F.col("joined") | (F.col("c") < F.col("c_")))
+    met = every.join(apart.hint("merge"), ["key", "part"]).where(once_only & near)
+    met = materialize(met.select(F.greatest("c", "c_").alias("u"), F.least("c", "c_").alias("v")).distinct())
+    return materialize(_like(met, found, shape).where("like").select("u", "v"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:

@@ -349,3 +349,34 @@ def test_crowd_links(spark, monkeypatch):
     assert all(like(a, b) for a, b in got)
     star = [(i, 0) for i in joined]
     assert closure(sets, got + star) == closure(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if like(a, b)])
+
+
+def test_line_crowd_links(spark, monkeypatch):
+    """Links within buckets are those of brute force, in parts and beside a common template."""
+    from corvane.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "MEET", 7)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    lines = [(word(30) * 3)[: int(rng.integers(5, 90))] + word(int(rng.integers(0, 60))) for _ in range(80)]
+    lines += [x[: int(rng.integers(0, 4))] + x + word(int(rng.integers(0, 9))) for x in lines for _ in range(2)]
+    members = [(k, i, i % 4 == 0, -1 if i % 10 == 0 else i) for k in (1, 2) for i in range(len(lines)) if k == 1 or i % 2]
+    found = spark.createDataFrame(list(enumerate(lines)), "_c long, _line string")
+    got = module.crowd_links(spark.createDataFrame(members, "key long, c long, joined boolean, root long"), found, module.Shape()).collect()
+    sets = [all_shingles(x) for x in lines]
+    want = {(b, a) for a, b in itertools.combinations(range(len(lines)), 2) if (a % 4 or b % 4) and (a % 10 or b % 10) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert len(want) > 100 and {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_lines_run_no_python(spark, monkeypatch):
+    """Crowded buckets with lines unlike their centre stay in Spark's expressions."""
+    rng = np.random.default_rng(9)
+    common = " ".join(f"common{i}" for i in range(20))
+    rows = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20)) for _ in range(60)]
+
+    def no(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", no)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", no)
+    assert line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("lines_dropped > 0").count() == 0
