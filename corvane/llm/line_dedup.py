@@ -1,5 +1,5 @@
 """Fuzzy line deduplication by MinHash over character shingles, in Spark expressions; lines of crowded
-buckets meet by small bitmaps of their sets first."""
+buckets are gathered by stars, and what stays apart meets by small bitmaps of the sets first."""
 
 from __future__ import annotations
 
@@ -14,8 +14,12 @@ from corvane.llm.set_join import alike
 
 #: Lines of a bucket, unlike its centre, that meet the whole bucket in one task.
 MEET = 2000
-#: Words of 64 bits in a set's bitmap.
-BIT_WORDS = 4
+#: Words of 64 bits in a set's bitmap, twice the minima of a crowded line.
+BIT_WORDS = 16
+#: Minima that lines of a star share, so many neighbouring ones of ``BIT_WORDS / 2`` in a ring.
+STARS = (5, 3)
+#: Stars drawn from each crowded bucket as a whole.
+WHOLE = 3
 
 
 @dataclass(frozen=True)
@@ -39,13 +43,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFra
 
 
 def _starts(wide: Column, chars: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest((F.length(wide) / 4).cast("int") - chars, F.lit(0)))
+    """The bytes, from 1, at which shingles start."""
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - 4 * chars, F.lit(0)) + 1, F.lit(4))
 
 
 def _shingle(wide: Column, at: Column, chars: int) -> Column:
-    """The hash of the shingle that starts at a character. ``wide`` has four bytes a character, so
+    """The hash of the shingle that starts at a byte. ``wide`` has four bytes a character, so
     that it is cut without a scan."""
-    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * chars)))
+    return F.xxhash64(F.substring(wide, at, F.lit(4 * chars)))
 
 
 def _set(line: Column, shape: Shape) -> Column:
@@ -63,7 +68,7 @@ def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
     m = shape.bands * shape.rows
     wide = lines.select("_c", F.encode("_line", "UTF-32").alias("w"))
     rows = wide.select("_c", "w", F.explode(_starts(F.col("w"), shape.chars)).alias("i")).select("_c", "i", _shingle(F.col("w"), F.col("i"), shape.chars).alias("h"))
-    return rows.groupBy("_c").agg(F.count_if(F.col("i") == 0).alias("n"), *[F.min(F.when(F.col("h").bitwiseAND(m - 1) == k, F.col("h"))).alias(f"m{k}") for k in range(m)])
+    return rows.groupBy("_c").agg(F.count_if(F.col("i") == 1).alias("n"), *[F.min(F.when(F.col("h").bitwiseAND(m - 1) == k, F.col("h"))).alias(f"m{k}") for k in range(m)])
 
 
 def _buckets(sig: DataFrame, shape: Shape) -> DataFrame:
@@ -86,9 +91,9 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
     """Verified links (u, v) between hashes of distinct lines, from their stored signatures, and
     the stored places of lines that stand more than once or may have a link.
 
-    Small buckets are compared pair by pair, larger ones with their least line; what is unlike it
-    meets all of its bucket in ``crowd_links``, so every pair that shares a bucket and is
-    alike ends in one component.
+    Small buckets are compared pair by pair, larger ones with their least line. What is unlike it
+    is gathered by ``star_pairs``, and meets what is then still apart in its bucket in
+    ``crowd_links``, so every pair that shares a bucket and is alike ends in one component.
     """
     rows = _buckets(sig, shape)
     full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("v"), F.max("c").alias("w")).where("n > 1")
@@ -116,38 +121,85 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
     left = materialize(left.join(roots, "c", "left").select("key", "c", "joined", F.coalesce("root", "c").alias("root")))
     if left.isEmpty():
         return good, stored
-    return good.unionByName(crowd_links(left, found, shape)), stored
+    bits = materialize(_bitmaps(left, found, shape))
+    near = materialize(star_pairs(left, bits, shape))
+    stars = good.unionByName(_like(near, found, shape).where("like").select("u", "v"))
+    gathered = materialize(components(stars).select(F.col("node").alias("c"), F.col("root").alias("_root")))
+    left = left.join(gathered, "c", "left").withColumn("root", F.coalesce("_root", "c")).drop("_root")
+    rest = crowd_links(materialize(left), found, shape, bits)
+    return gathered.select(F.col("c").alias("u"), F.col("_root").alias("v")).unionByName(rest), stored
+
+
+def _bitmaps(members: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+    """(c, n, b0, b1, ..., m0, m1, ...) per line of ``members``: the size of its set, for each bit of
+    a few words whether an odd number of its shingles falls on it, and minima beside the signature's.
+    A shingle counts for one word and one minimum, so these are taken per word first."""
+    ids = members.select("c").distinct()
+    lines = found.withColumnRenamed("_c", "c").join(bounded(ids, members.count(), BROADCAST_IDS), "c", "left_semi")
+    rows = lines.select("c", F.explode(_set(F.col("_line"), shape)).alias("h"))
+    rows = rows.groupBy("c", F.shiftright("h", 6).bitwiseAND(BIT_WORDS - 1).alias("w")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, int(h & 63))")).alias("b"), F.min("h").alias("m"))
+    words = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("b"))), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
+    minima = [F.min(F.when(F.col("w") % (BIT_WORDS // 2) == k, F.col("m"))).alias(f"m{k}") for k in range(BIT_WORDS // 2)]
+    return rows.groupBy("c").agg(F.sum("n").alias("n"), *words, *minima)
+
+
+def _near(shape: Shape) -> Column:
+    """Whether two lines, the second one's columns ending in ``_``, can be alike: a shingle that only one
+    of two sets has changes one bit of their bitmaps, so these differ in no more bits than the sets in
+    shingles. The first words alone decide most pairs."""
+    most = (F.col("n") + F.col("n_")) * ((1 - shape.jaccard) / (1 + shape.jaccard)) + 1e-6
+    differ = [F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(BIT_WORDS)]
+    total = lambda xs: sum(xs[1:], xs[0])
+    return (F.abs(F.col("n") - F.col("n_")) <= most) & (total(differ[: BIT_WORDS // 4]) <= most) & (total(differ) <= most)
+
 
+def _words() -> list[str]:
+    return ["n", *(f"b{k}" for k in range(BIT_WORDS))]
 
-def _bitmaps(lines: DataFrame, shape: Shape) -> DataFrame:
-    """(c, n, b0, b1, ...) per line (c, _line): the size of its set, and for each bit of a few words
-    whether an odd number of its shingles falls on it."""
-    h = F.col("h")
-    bit = lambda k: F.when(F.shiftright(h, 6).bitwiseAND(BIT_WORDS - 1) == k, F.expr("shiftleft(1L, int(h & 63))"))
-    words = [F.coalesce(F.bit_xor(bit(k)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
-    return lines.select("c", F.explode(_set(F.col("_line"), shape)).alias("h")).groupBy("c").agg(F.count("*").alias("n"), *words)
 
+def star_pairs(members: DataFrame, bits: DataFrame, shape: Shape) -> DataFrame:
+    """Pairs (u, v) of unlinked lines that may be alike, in number linear in the members.
 
-def crowd_links(members: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+    Lines that share some minima, and each bucket as a whole a few times, are a star around a line
+    drawn by hash, another for each star. Near copies of one text share most stars, so nearly all
+    of them end in one component by these pairs, and need not meet each other in ``crowd_links``.
+    """
+    ring = [F.col(f"m{k}") for k in range(BIT_WORDS // 2)]
+    keys = []
+    for many in STARS:
+        for k in range(len(ring)):
+            own = [(ring + ring)[k + i] for i in range(many)]
+            keys.append(F.when(~F.array_contains(F.transform(F.array(*own), lambda x: x.isNull()), True), F.xxhash64(F.lit(many), F.lit(k), *own)))
+    fine = bits.select("c", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("star"))
+    whole = members.select("c", F.explode(F.array(*[F.xxhash64(F.lit(-i), "key") for i in range(WHOLE)])).alias("star"))
+    rows = materialize(fine.unionByName(whole))
+    stars = rows.groupBy("star").agg(F.count("*").alias("all"), F.min_by("c", F.xxhash64("star", "c")).alias("v")).where("all > 1")
+    pairs = join_hot(rows, materialize(stars), ["star"], "all", rows.count()).where("c <> v")
+    pairs = pairs.select(F.greatest("c", "v").alias("c"), F.least("c", "v").alias("c_")).distinct()
+    own = materialize(bits.join(members.groupBy("c").agg(F.min("root").alias("root")), "c").select("c", "root", *_words()))
+    other = own.select(*[F.col(x).alias(f"{x}_") for x in own.columns])
+    met = pairs.join(own, "c").join(other, "c_").where((F.col("root") != F.col("root_")) & _near(shape))
+    return met.select(F.col("c").alias("u"), F.col("c_").alias("v"))
+
+
+def crowd_links(members: DataFrame, found: DataFrame, shape: Shape, bits: DataFrame | None = None) -> DataFrame:
     """Links (u, v) of all alike lines that share a bucket, but for two that are linked already.
 
     ``members``: (key, c, joined, root), stored: joined ones are linked to the bucket's centre, and
     lines of one root to one line. The others meet all of their bucket, dealt over tasks in parts of
-    ``MEET``. A shingle that only one of two sets has changes one bit of their bitmaps, so these differ
-    in no more bits than the sets in shingles; what can't be alike by that is not compared.
+    ``MEET``; of two lines the bitmaps (``bits``) are compared, and the sets if these can be alike.
     """
-    ids = members.select("c").distinct()
-    bits = materialize(_bitmaps(found.withColumnRenamed("_c", "c").join(bounded(ids, members.count(), BROADCAST_IDS), "c", "left_semi"), shape))
+    if bits is None:
+        bits = materialize(_bitmaps(members, found, shape))
+    words = _words()
     size = members.groupBy("key").agg(F.count("*").alias("all"), F.ceil(F.count_if(~F.col("joined")) / MEET).cast("int").alias("parts"))
     rows = join_hot(members, materialize(size), ["key"], "all", members.count()).join(bits, "c")
-    rows = materialize(rows.select("key", "c", "joined", "root", "parts", *bits.columns[1:]))
+    rows = materialize(rows.select("key", "c", "joined", "root", "parts", *words))
     every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     apart = rows.where("NOT joined").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
-    apart = apart.select("key", "part", *[F.col(x).alias(f"{x}_") for x in ("c", "root", *bits.columns[1:])])
-    differ = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_"))) for k in range(1, BIT_WORDS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_"))))
-    near = differ <= (F.col("n") + F.col("n_")) * ((1 - shape.jaccard) / (1 + shape.jaccard)) + 1e-6
+    apart = apart.select("key", "part", *[F.col(x).alias(f"{x}_") for x in ("c", "root", *words)])
     once_only = (F.col("root") != F.col("root_")) & (F.col("c") != F.col("c_")) & (F.col("joined") | (F.col("c") < F.col("c_")))
-    met = every.join(apart.hint("merge"), ["key", "part"]).where(once_only & near)
+    met = every.join(apart.hint("merge"), ["key", "part"]).where(once_only & _near(shape))
     met = materialize(met.select(F.greatest("c", "c_").alias("u"), F.least("c", "c_").alias("v")).distinct())
     return materialize(_like(met, found, shape).where("like").select("u", "v"))
 

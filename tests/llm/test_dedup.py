@@ -380,3 +380,25 @@ def test_lines_run_no_python(spark, monkeypatch):
     monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", no)
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", no)
     assert line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("lines_dropped > 0").count() == 0
+
+
+def test_lines_near_copies_in_linear_pairs(spark, monkeypatch):
+    """A large group of near copies, most of them unlike their centre, ends in the components of brute
+    force without comparing all of its pairs."""
+    from corvane.llm import line_dedup as module
+
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    template, rows = [word() for _ in range(60)], []
+    for i in range(500):
+        x = list(template)
+        for at in rng.integers(0, 60, 1 + i % 3):
+            x[at] = word()
+        rows.append(" ".join(x))
+    compared, plain = [], module._like
+    monkeypatch.setattr(module, "_like", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    docs = list(enumerate(rows))
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(compared) < 20 * len(rows)  # of 124,750 pairs
+    want = deduped(docs, alike_pairs)
+    assert sum(got[d] == t for d, t in want.items()) >= 0.98 * len(docs) and all(got[d] for d, t in want.items() if t)
