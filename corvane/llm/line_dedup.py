@@ -4,6 +4,8 @@ buckets are gathered by stars, and what stays apart meets by small bitmaps of th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ BIT_WORDS = 16
 STARS = (5, 3)
 #: Stars drawn from each crowded bucket as a whole.
 WHOLE = 3
+#: Hashes of a line, on average, among which each minimum of its signature is looked for at first.
+LOWEST = 10
 
 
 @dataclass(frozen=True)
@@ -38,37 +42,79 @@ class Shape:
 def _lines(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
     """Lines with a letter or digit, with their row's keys, their place and their hash, twice."""
     cut = docs.select(F.col(id_col).alias("_id"), *row_key(docs, id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("_k", "_line"))
-    cut = cut.select("_id", "_k1", "_k2", "_k", F.trim("_line", F.lit(" \t\r")).alias("_line"))
-    return cut.where(F.col("_line").rlike(r"[\p{L}\p{N}]")).withColumns({"_c": F.xxhash64("_line"), "_d": F.xxhash64(F.lit(1), "_line")})
+    cut = cut.select("_id", "_k1", "_k2", "_k", _trimmed(F.col("_line")).alias("_line"))
+    return cut.where(_lettered(F.col("_line"))).withColumns({"_c": F.xxhash64("_line"), "_d": F.xxhash64(F.lit(1), "_line")})
 
 
-def _starts(wide: Column, chars: int) -> Column:
+def _trimmed(line: Column) -> Column:
+    """The line without white space at its ends. Most have none, and a trim walks the whole line."""
+    padded = [f(F.lit(x)) for x in " \t\r" for f in (line.startswith, line.endswith)]
+    return F.when(reduce(or_, padded), F.trim(line, F.lit(" \t\r"))).otherwise(line)
+
+
+def _lettered(line: Column) -> Column:
+    """Whether the line has a letter or digit. Most begin with one, as the order of strings tells."""
+    first = [(line >= lo) & (line < hi) for lo, hi in (("a", "{"), ("A", "["), ("0", ":"))]
+    return reduce(or_, first) | line.rlike(r"[\p{L}\p{N}]")
+
+
+def _starts(wide: Column, chars: int, size: int = 4) -> Column:
     """The bytes, from 1, at which shingles start."""
-    return F.sequence(F.lit(1), F.greatest(F.length(wide) - 4 * chars, F.lit(0)) + 1, F.lit(4))
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - size * chars, F.lit(0)) + 1, F.lit(size))
 
 
-def _shingle(wide: Column, at: Column, chars: int) -> Column:
-    """The hash of the shingle that starts at a byte. ``wide`` has four bytes a character, so
+def _shingle(wide: Column, at: Column, chars: int, size: int = 4) -> Column:
+    """The hash of the shingle that starts at a byte. ``wide`` has ``size`` bytes a character, so
     that it is cut without a scan."""
-    return F.xxhash64(F.substring(wide, at, F.lit(4 * chars)))
+    return F.xxhash64(F.substring(wide, at, F.lit(size * chars)))
 
 
 def _set(line: Column, shape: Shape) -> Column:
-    """The set of a line's shingles. The wide form is bound in a lambda, so that it is made once."""
-    one = lambda w: F.array_distinct(F.transform(_starts(w, shape.chars), lambda i: _shingle(w, i, shape.chars)))
-    return once(F.encode(line, "UTF-32"), one)
+    """The set of a line's shingles. The wide form is bound in a lambda, so that it is made once;
+    the set is made outside of it, where it is compiled."""
+    one = lambda w: F.transform(_starts(w, shape.chars), lambda i: _shingle(w, i, shape.chars))
+    return F.array_distinct(once(F.encode(line, "UTF-32"), one))
 
 
-def _signatures(lines: DataFrame, shape: Shape) -> DataFrame:
-    """(_c, n, m0, m1, ...) per distinct line, n: how often it stands. A shingle at every character
-    gives one hash; its last bits name the minimum it counts for (one permutation). The minima
-    are taken by the hash aggregate, combined before the shuffle, and the same aggregate makes
-    the lines distinct. The list of starts reads the wide form, so that this is made once a line
-    and not once a shingle."""
+def _minima(lines: DataFrame, shape: Shape, lowest: int | None = None) -> DataFrame:
+    """(_c, n, m0, m1, ..., _from) per distinct line, n: how often it stands. A shingle at every unit
+    of UTF-16 gives one hash; its last bits name the minimum it counts for (one permutation). The
+    minima are taken by the hash aggregate, combined before the shuffle, and the same aggregate
+    makes the lines distinct. The list of starts reads the wide form, so that this is made once a
+    line and not once a shingle.
+
+    With ``lowest``, only hashes so low that about as many for each minimum of a line are lower
+    reach the aggregate. ``_from`` is a row with a line that has others and lacks a minimum so."""
     m = shape.bands * shape.rows
-    wide = lines.select("_c", F.encode("_line", "UTF-32").alias("w"))
-    rows = wide.select("_c", "w", F.explode(_starts(F.col("w"), shape.chars)).alias("i")).select("_c", "i", _shingle(F.col("w"), F.col("i"), shape.chars).alias("h"))
-    return rows.groupBy("_c").agg(F.count_if(F.col("i") == 1).alias("n"), *[F.min(F.when(F.col("h").bitwiseAND(m - 1) == k, F.col("h"))).alias(f"m{k}") for k in range(m)])
+    wide = lines.select("_c", "_k1", F.encode("_line", "UTF-16BE").alias("w"))
+    count = F.length("w") / 2 - (shape.chars - 1)
+    some = count > (lowest or 0) * m if lowest else F.lit(False)
+    most = F.when(some, (2.0**64 * (lowest or 0) * m / count - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
+    wide = wide.select("_c", F.when(some, F.col("_k1")).alias("k"), "w", most.alias("most"))
+    rows = wide.select("_c", "k", "w", "most", F.explode(_starts(F.col("w"), shape.chars, 2)).alias("i"))
+    rows = rows.select("_c", "k", "i", "most", _shingle(F.col("w"), F.col("i"), shape.chars, 2).alias("h"))
+    rows = rows.where((F.col("i") == 1) | (F.col("h") <= F.col("most"))) if lowest else rows
+    names = [f"m{k}" for k in range(m)]
+    least = [F.min(F.when((F.col("h").bitwiseAND(m - 1) == k) & (F.col("h") <= F.col("most")), F.col("h"))).alias(x) for k, x in enumerate(names)]
+    out = rows.groupBy("_c").agg(F.count_if(F.col("i") == 1).alias("n"), *least, F.min(F.when(F.col("i") == 1, F.col("k"))).alias("_from"))
+    lacks = reduce(or_, [F.col(x).isNull() for x in names])
+    return out.select("_c", "n", *names, F.when(lacks, F.col("_from")).alias("_from"))
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
+    """(_c, n, m0, m1, ...) per distinct line, stored. Minima are looked for among low hashes, which
+    spares the aggregate most of them; lines that lack one so, as those that repeat a few shingles
+    do, get theirs from all of their hashes."""
+    m = [f"m{k}" for k in range(shape.bands * shape.rows)]
+    sig = materialize(_minima(_lines(docs, id_col, text_col, shape), shape, LOWEST))
+    lacking = materialize(sig.where("_from IS NOT NULL").select("_c", "n", "_from"))
+    if not (few := lacking.count()):
+        return sig.select("_c", "n", *m)
+    rows = docs.withColumn("_from", row_key(docs, id_col, text_col)[0])
+    rows = rows.join(bounded(lacking.select("_from").distinct(), few, BROADCAST_IDS), "_from", "left_semi").select(id_col, text_col)
+    again = _lines(rows, id_col, text_col, shape).join(bounded(lacking.select("_c"), few, BROADCAST_IDS), "_c", "left_semi")
+    again = _minima(again, shape).select("_c", *m).join(bounded(lacking.select("_c", "n"), few), "_c").select("_c", "n", *m)
+    return sig.where("_from IS NULL").select("_c", "n", *m).unionByName(materialize(again))
 
 
 def _buckets(sig: DataFrame, shape: Shape) -> DataFrame:
@@ -83,8 +129,18 @@ def _buckets(sig: DataFrame, shape: Shape) -> DataFrame:
 def _like(pairs: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (u, v) with ``like``, from the lines themselves: they are shorter than their sets."""
     a, b = found.select(F.col("_c").alias("u"), F.col("_line").alias("a")), found.select(F.col("_c").alias("v"), F.col("_line").alias("b"))
-    like = once(F.struct(_set(F.col("a"), shape).alias("a"), _set(F.col("b"), shape).alias("b")), lambda p: alike(p["a"], p["b"], shape.jaccard))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", like.alias("like"))
+    met = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", _outsized(F.col("a"), F.col("b"), shape).alias("out"))
+    sets = [F.when(~F.col("out"), _set(F.col(x), shape)).alias(x) for x in ("a", "b")]
+    return met.select("u", "v", *sets).select("u", "v", F.coalesce(alike(F.col("a"), F.col("b"), shape.jaccard), F.lit(False)).alias("like"))
+
+
+def _outsized(a: Column, b: Column, shape: Shape) -> Column:
+    """Whether the start of the longer line alone has more different shingles than two alike lines may,
+    as the shorter one has no more than places for them."""
+    longer, least = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.least(F.length(a), F.length(b))
+    need = (F.greatest(least - (shape.chars - 1), F.lit(1)) / shape.jaccard + 1e-9).cast("int") + 1
+    start = need + (need / 16).cast("int") + shape.chars
+    return F.when(F.length(longer) < start, False).otherwise(F.size(_set(F.substring(longer, F.lit(1), start), shape)) >= need)
 
 
 def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +192,7 @@ def _bitmaps(members: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
     A shingle counts for one word and one minimum, so these are taken per word first."""
     ids = members.select("c").distinct()
     lines = found.withColumnRenamed("_c", "c").join(bounded(ids, members.count(), BROADCAST_IDS), "c", "left_semi")
-    rows = lines.select("c", F.explode(_set(F.col("_line"), shape)).alias("h"))
+    rows = lines.select("c", _set(F.col("_line"), shape).alias("set")).select("c", F.explode("set").alias("h"))
     rows = rows.groupBy("c", F.shiftright("h", 6).bitwiseAND(BIT_WORDS - 1).alias("w")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, int(h & 63))")).alias("b"), F.min("h").alias("m"))
     words = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("b"))), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
     minima = [F.min(F.when(F.col("w") % (BIT_WORDS // 2) == k, F.col("m"))).alias(f"m{k}") for k in range(BIT_WORDS // 2)]
@@ -220,7 +276,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced. An empty table gives an empty table.
     """
     lines = _lines(docs, id_col, text_col, shape)
-    sig = materialize(_signatures(lines, shape))
+    sig = _signatures(docs, id_col, text_col, shape)
     links, stored = line_links(lines, sig, shape)
     roots = components(links).select(F.col("node").alias("_c"), "root")
     often = sig.select("_c", "n").join(roots, "_c", "left").where("n > 1 OR root IS NOT NULL")

@@ -402,3 +402,37 @@ def test_lines_near_copies_in_linear_pairs(spark, monkeypatch):
     assert sum(compared) < 20 * len(rows)  # of 124,750 pairs
     want = deduped(docs, alike_pairs)
     assert sum(got[d] == t for d, t in want.items()) >= 0.98 * len(docs) and all(got[d] for d, t in want.items() if t)
+
+
+def test_line_signatures_from_low_hashes(spark):
+    """Minima looked for among low hashes are those of all hashes, for lines that repeat a few shingles too."""
+    from corvane.llm import line_dedup as module
+
+    rng = np.random.default_rng(41)
+    word = lambda n: "".join(rng.choice(list("abcdefghij é你😀"), n))
+    rows = [word(int(n)) for n in rng.integers(1, 1500, 120)] + [word(int(n)) * 200 for n in rng.integers(2, 30, 20)]
+    rows = [x.strip() for x in rows if any(c.isalnum() for c in x)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    shape = module.Shape()
+    names = ["_c", "n", *(f"m{k}" for k in range(8))]
+    want = module._minima(module._lines(docs, "doc_id", "text", shape), shape).select(*names).collect()
+    low = module._minima(module._lines(docs, "doc_id", "text", shape), shape, module.LOWEST)
+    assert 15 <= low.where("_from IS NOT NULL").count() < 40
+    assert set(module._signatures(docs, "doc_id", "text", shape).select(*names).collect()) == set(want)
+
+
+def test_lines_of_unlike_sizes_are_told_by_their_starts(spark):
+    """No two alike lines are called outsized, and most that are much longer are, without their whole sets."""
+    from corvane.llm import line_dedup as module
+
+    rng = np.random.default_rng(42)
+    word = lambda n: "".join(rng.choice(list("abcdefghij é你😀"), n))
+    rows = []
+    for _ in range(400):
+        x = word(int(rng.integers(1, 90)))
+        rows += [(x, x + word(int(rng.integers(0, 40)))), (x * 3, x * 9), (x, word(400))]
+    out = module._outsized(F.col("a"), F.col("b"), module.Shape())
+    told = spark.createDataFrame(rows, "a string, b string").select("a", "b", out.alias("ab")).collect()
+    like = [len(s & t) >= 0.8 * len(s | t) - 1e-9 for s, t in ((all_shingles(r.a), all_shingles(r.b)) for r in told)]
+    assert sum(like) > 300 and not any(r.ab and x for r, x in zip(told, like))
+    assert all(r.ab for r in told if len(r.b) == 400 and len(r.a) <= 90) and not any(r.ab for r in told if len(r.a) == len(r.b))
