@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import BROADCAST_IDS, bounded, join_hot, materialize, once, row_key
 from corvane.llm.components import components
-from corvane.llm.set_join import alike
 
 #: Lines of a bucket, unlike its centre, that meet the whole bucket in one task.
 MEET = 2000
@@ -69,11 +68,21 @@ def _shingle(wide: Column, at: Column, chars: int, size: int = 4) -> Column:
     return F.xxhash64(F.substring(wide, at, F.lit(size * chars)))
 
 
-def _set(line: Column, shape: Shape) -> Column:
-    """The set of a line's shingles. The wide form is bound in a lambda, so that it is made once;
-    the set is made outside of it, where it is compiled."""
+def _shingles(line: Column, shape: Shape) -> Column:
+    """A line's shingles in order, repeated ones too. The wide form is bound in a lambda, so that it is made once."""
     one = lambda w: F.transform(_starts(w, shape.chars), lambda i: _shingle(w, i, shape.chars))
-    return F.array_distinct(once(F.encode(line, "UTF-32"), one))
+    return once(F.encode(line, "UTF-32"), one)
+
+
+def _set(line: Column, shape: Shape) -> Column:
+    """The set of a line's shingles, made outside of lambdas, where it is compiled."""
+    return F.array_distinct(_shingles(line, shape))
+
+
+def _among(aggregate: str, rows: str) -> Column:
+    """An aggregate over some rows alone. The others pass it by; an aggregate of nulls in their place
+    would write its buffer anew for each of them."""
+    return F.expr(f"{aggregate} FILTER (WHERE {rows})")
 
 
 def _minima(lines: DataFrame, shape: Shape, lowest: int | None = None) -> DataFrame:
@@ -94,9 +103,10 @@ def _minima(lines: DataFrame, shape: Shape, lowest: int | None = None) -> DataFr
     rows = wide.select("_c", "k", "w", "most", F.explode(_starts(F.col("w"), shape.chars, 2)).alias("i"))
     rows = rows.select("_c", "k", "i", "most", _shingle(F.col("w"), F.col("i"), shape.chars, 2).alias("h"))
     rows = rows.where((F.col("i") == 1) | (F.col("h") <= F.col("most"))) if lowest else rows
+    rows = rows.select("_c", "k", "i", "h", F.when(F.col("h") <= F.col("most"), F.col("h").bitwiseAND(m - 1)).otherwise(-1).alias("r"))
     names = [f"m{k}" for k in range(m)]
-    least = [F.min(F.when((F.col("h").bitwiseAND(m - 1) == k) & (F.col("h") <= F.col("most")), F.col("h"))).alias(x) for k, x in enumerate(names)]
-    out = rows.groupBy("_c").agg(F.count_if(F.col("i") == 1).alias("n"), *least, F.min(F.when(F.col("i") == 1, F.col("k"))).alias("_from"))
+    least = [_among("min(h)", f"r = {k}").alias(x) for k, x in enumerate(names)]
+    out = rows.groupBy("_c").agg(_among("count(*)", "i = 1").alias("n"), *least, _among("min(k)", "i = 1").alias("_from"))
     lacks = reduce(or_, [F.col(x).isNull() for x in names])
     return out.select("_c", "n", *names, F.when(lacks, F.col("_from")).alias("_from"))
 
@@ -130,8 +140,18 @@ def _like(pairs: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (u, v) with ``like``, from the lines themselves: they are shorter than their sets."""
     a, b = found.select(F.col("_c").alias("u"), F.col("_line").alias("a")), found.select(F.col("_c").alias("v"), F.col("_line").alias("b"))
     met = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", _outsized(F.col("a"), F.col("b"), shape).alias("out"))
-    sets = [F.when(~F.col("out"), _set(F.col(x), shape)).alias(x) for x in ("a", "b")]
-    return met.select("u", "v", *sets).select("u", "v", F.coalesce(alike(F.col("a"), F.col("b"), shape.jaccard), F.lit(False)).alias("like"))
+    made = [F.when(~F.col("out"), f(F.col(x), shape)).alias(x) for x, f in (("a", _set), ("b", _shingles))]
+    both = F.when(F.size("b") >= shape.jaccard * F.size("a") - 1e-9, F.size(F.array_intersect("a", "b"))).otherwise(-1)
+    told = met.select("u", "v", *made).select("u", "v", "a", "b", both.alias("both"))
+    return told.select("u", "v", F.coalesce(_reaches(F.col("both"), F.col("a"), F.col("b"), shape.jaccard), F.lit(False)).alias("like"))
+
+
+def _reaches(both: Column, a: Column, b: Column, jaccard: float) -> Column:
+    """Whether ``a``, a set, and that of ``b``'s members, which may repeat, reach the similarity, of which
+    ``both`` are in both. Most pairs are told without the second set: it has no more members than ``b``, and
+    two alike sets share that part of either one."""
+    enough = lambda n: both >= F.lit(jaccard / (1 + jaccard)) * (F.size(a) + n) - 1e-9
+    return F.when(both < jaccard * F.size(a) - 1e-9, False).when(enough(F.size(b)), True).otherwise(enough(F.size(F.array_distinct(b))))
 
 
 def _outsized(a: Column, b: Column, shape: Shape) -> Column:
@@ -189,14 +209,14 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
 def _bitmaps(members: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
     """(c, n, b0, b1, ..., m0, m1, ...) per line of ``members``: the size of its set, for each bit of
     a few words whether an odd number of its shingles falls on it, and minima beside the signature's.
-    A shingle counts for one word and one minimum, so these are taken per word first."""
+    A shingle counts for one word and one minimum."""
     ids = members.select("c").distinct()
     lines = found.withColumnRenamed("_c", "c").join(bounded(ids, members.count(), BROADCAST_IDS), "c", "left_semi")
     rows = lines.select("c", _set(F.col("_line"), shape).alias("set")).select("c", F.explode("set").alias("h"))
-    rows = rows.groupBy("c", F.shiftright("h", 6).bitwiseAND(BIT_WORDS - 1).alias("w")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, int(h & 63))")).alias("b"), F.min("h").alias("m"))
-    words = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("b"))), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
-    minima = [F.min(F.when(F.col("w") % (BIT_WORDS // 2) == k, F.col("m"))).alias(f"m{k}") for k in range(BIT_WORDS // 2)]
-    return rows.groupBy("c").agg(F.sum("n").alias("n"), *words, *minima)
+    rows = rows.select("c", "h", F.shiftright("h", 6).bitwiseAND(BIT_WORDS - 1).alias("w"), F.expr("shiftleft(1L, int(h & 63))").alias("b"))
+    words = [F.coalesce(_among("bit_xor(b)", f"w = {k}"), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BIT_WORDS)]
+    minima = [_among("min(h)", f"w % {BIT_WORDS // 2} = {k}").alias(f"m{k}") for k in range(BIT_WORDS // 2)]
+    return rows.groupBy("c").agg(F.count("*").alias("n"), *words, *minima)
 
 
 def _near(shape: Shape) -> Column:

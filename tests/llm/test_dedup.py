@@ -436,3 +436,47 @@ def test_lines_of_unlike_sizes_are_told_by_their_starts(spark):
     like = [len(s & t) >= 0.8 * len(s | t) - 1e-9 for s, t in ((all_shingles(r.a), all_shingles(r.b)) for r in told)]
     assert sum(like) > 300 and not any(r.ab and x for r, x in zip(told, like))
     assert all(r.ab for r in told if len(r.b) == 400 and len(r.a) <= 90) and not any(r.ab for r in told if len(r.a) == len(r.b))
+
+
+def test_line_aggregates_pass_other_rows_by(spark):
+    """A shingle writes to its own minimum alone, and bitmaps, equal to brute force, are made in one grouping."""
+    from corvane.llm import line_dedup as module
+
+    rng = np.random.default_rng(43)
+    word = lambda n: "".join(rng.choice(list("abcdefghij é你😀"), n))
+    rows = [(i, word(int(n)) * (1 + i % 3)) for i, n in enumerate(rng.integers(1, 400, 40))]
+    shape = module.Shape()
+    plan = lambda df: df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    lines = module._lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", shape)
+    assert re.findall(r"partial_min\(h#\d+L?\) FILTER \(WHERE \(r#\d+L? = (\d)\)\)", plan(module._minima(lines, shape, module.LOWEST))) == list("01234567")
+    found = spark.createDataFrame(rows, "_c long, _line string")
+    bits = module._bitmaps(spark.range(len(rows)).withColumnRenamed("id", "c"), found, shape)
+    assert not re.search(r"hashpartitioning\(c#\d+L?, w#", plan(bits))
+    sets = {r._c: r.set for r in found.select("_c", module._set(F.col("_line"), shape).alias("set")).collect()}
+    for r in bits.collect():
+        words = [[h for h in sets[r.c] if (h >> 6) & 15 == k] for k in range(16)]
+        for k, own in enumerate(words):
+            odd = sum(1 << b for b in range(64) if sum(h & 63 == b for h in own) % 2)
+            assert r[f"b{k}"] & (2**64 - 1) == odd
+        assert r.n == len(sets[r.c]) and all(r[f"m{k}"] == min(words[k] + words[k + 8], default=None) for k in range(8))
+
+
+def test_line_pairs_are_told_with_one_set(spark):
+    """Lines that repeat their shingles and lines at the least similarity are told as brute force tells them."""
+    from corvane.llm import line_dedup as module
+
+    rng = np.random.default_rng(44)
+    word = lambda n: "".join(rng.choice(list("abcdefghij é你😀"), n))
+    rows = []
+    for _ in range(150):
+        x, y = word(int(rng.integers(1, 120))), word(int(rng.integers(1, 20)))
+        rows += [(x, x + y), (x + y, x), (x * 3, x * 4), (x, x * 5), (y * 30, y * 30 + x), (x + y * 20, x + y * 2)]
+    found = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(rows) for k, x in enumerate(p)], "_c long, _line string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(rows))], "u long, v long")
+    got = {r.u // 2: r.like for r in module._like(pairs, found, module.Shape()).collect()}
+    want = [len(s & t) >= 0.8 * len(s | t) - 1e-9 for s, t in ((all_shingles(a), all_shingles(b)) for a, b in rows)]
+    assert 200 < sum(want) < 700 and [got[i] for i in range(len(rows))] == want
+    # The second set is asked for in the last case alone, as of 9 members of which 8 are in both.
+    cases = spark.createDataFrame([(7, 9, 9, 9, False), (8, 9, 9, 9, True), (8, 8, 10, 30, True), (8, 8, 11, 30, False)], "c int, a int, n int, b int, want boolean")
+    a, b = F.sequence(F.lit(1), "a"), F.transform(F.sequence(F.lit(1), "b"), lambda x: x % F.col("n"))
+    assert not cases.where(module._reaches(F.col("c"), a, b, 0.8) != F.col("want")).count()
