@@ -199,7 +199,8 @@ def line_links(lines: DataFrame, sig: DataFrame, shape: Shape = Shape()) -> tupl
         return good, stored
     bits = materialize(_bitmaps(left, found, shape))
     near = materialize(star_pairs(left, bits, shape))
-    stars = good.unionByName(_like(near, found, shape).where("like").select("u", "v"))
+    # Stored before it is filtered: a filter would be pushed into the comparison, which then makes its sets anew.
+    stars = good.unionByName(materialize(_like(near, found, shape)).where("like").select("u", "v"))
     gathered = materialize(components(stars).select(F.col("node").alias("c"), F.col("root").alias("_root")))
     left = left.join(gathered, "c", "left").withColumn("root", F.coalesce("_root", "c")).drop("_root")
     rest = crowd_links(materialize(left), found, shape, bits)
@@ -277,7 +278,7 @@ def crowd_links(members: DataFrame, found: DataFrame, shape: Shape, bits: DataFr
     once_only = (F.col("root") != F.col("root_")) & (F.col("c") != F.col("c_")) & (F.col("joined") | (F.col("c") < F.col("c_")))
     met = every.join(apart.hint("merge"), ["key", "part"]).where(once_only & _near(shape))
     met = materialize(met.select(F.greatest("c", "c_").alias("u"), F.least("c", "c_").alias("v")).distinct())
-    return materialize(_like(met, found, shape).where("like").select("u", "v"))
+    return materialize(_like(met, found, shape)).where("like").select("u", "v")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
